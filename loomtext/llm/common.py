@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Words of the white-space kind: everything but the six ASCII white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
+_OWN = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,12 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (tests, laptops) a fresh local folder is set.
     """
+    global _OWN
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = getattr(spark, "_loomtext_shared", None)
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-            spark._loomtext_shared = where
+        where = _OWN = _OWN or "file://" + tempfile.mkdtemp(prefix="loomtext-")
     return where.rstrip("/")
 
 

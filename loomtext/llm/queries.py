@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, language_id, quality_rules, sharding, url_filter
+from . import bpe_automaton, decontaminate, language_id, quality_rules, sharding, url_filter, warc_zip
 from .common import crc_fold, table
 
 
@@ -24,6 +24,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return f"/opt/tokenizers/{name}"
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.through_archives(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+    )
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
@@ -66,6 +72,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_automaton, op5_quality_rules, op7_language_id, op8_decontaminate, op9_virtual_slots, op10_url_filter)
+    f.__name__: f for f in (op1_warc_zip, op2_bpe_automaton, op5_quality_rules, op7_language_id, op8_decontaminate, op9_virtual_slots, op10_url_filter)
 }
 ORACLES: dict[str, str] = {}
