@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, decontaminate, language_id, quality_rules, sharding, url_filter, warc_zip
+from . import bpe_automaton, brown_lm, decontaminate, language_id, quality_rules, sharding, url_filter, warc_zip
 from .common import crc_fold, table
 
 
@@ -40,6 +40,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold(F.col("doc_id"), 7) == 2).alias("held_out"))
+    return brown_lm.score_corpus(docs, docs.where(~F.col("held_out")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_fold(F.col("doc_id"), 5) == 0
@@ -72,6 +77,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_zip, op2_bpe_automaton, op5_quality_rules, op7_language_id, op8_decontaminate, op9_virtual_slots, op10_url_filter)
+    f.__name__: f for f in (op1_warc_zip, op2_bpe_automaton, op5_quality_rules, op6_brown_lm, op7_language_id, op8_decontaminate, op9_virtual_slots, op10_url_filter)
 }
 ORACLES: dict[str, str] = {}
