@@ -20,6 +20,7 @@ from .common import double_array, materialise, space_words
 #: Frequent function words of the languages at hand.
 FUNCTION_WORDS = "the of and to in is that for with it as on by this be are was at from de la le les des et en un une du que pour dans qui est el los las del por con para una der die das und den von mit ist im auf ein eine zu nicht sich".split()
 SYMBOLS = "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_bangs", "n_function", "n_lines", "n_dup_lines", "n_repeat_words")
 #: The share of good documents is given, as votes on faults alone can't tell it.
 STEPS, LEAST, PRIOR = 25, 0.5, 0.85
 #: Start of EM: probability of a vote on good and on bad documents, for rules that look for a
@@ -31,8 +32,11 @@ BOTH_WAYS = {-1: (0.10, 0.60), 0: (0.10, 0.20), 1: (0.80, 0.20)}
 SMOOTH = 0.05
 
 
-def text_features(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of counts for each text; null and blank texts count nothing.
+def text_features(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Each row with the counts of its text; null and blank texts count nothing.
+
+    The columns in ``carry`` (all but the text, unless named) pass through; those that
+    share a name with a count are replaced by it.
 
     ``n_repeat_words`` counts the words that lie in a window of three that the text has
     twice or more.  Windows are compared by 64-bit hashes of word hashes inside one text;
@@ -41,10 +45,12 @@ def text_features(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     body = F.coalesce(F.col("t"), F.lit(""))
     count_of = lambda chars: F.length(body) - F.length(F.translate(body, chars, ""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    one = df.select(F.col(key), F.col(text).alias("t")).select(key, "t", space_words(F.col("t")).alias("w"))
+    carry = [c for c in (carry if carry is not None else [c for c in df.columns if c != text]) if c not in COUNTS]
+    carried = [f"_c{i}" for i in range(len(carry))]
+    one = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(carry, carried, strict=True)], F.col(f"`{text}`").alias("t")).select(*carried, "t", space_words(F.col("t")).alias("w"))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     two = one.select(
-        key,
+        *carried,
         F.size("w").cast("bigint").alias("n_words"),
         (F.length(body) - count_of(" \t\n\x0b\f\r")).cast("bigint").alias("word_chars"),
         count_of(SYMBOLS).cast("bigint").alias("n_symbols"),
@@ -67,7 +73,7 @@ def text_features(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     again = lambda x, i: (x["h"] == F.get("s", i - 1)["h"]) | (x["h"] == F.get("s", i + 1)["h"])
     five = four.select(*plain, F.when(F.col("s").isNotNull(), F.sort_array(F.filter(F.transform("s", lambda x, i: F.when(again(x, i), x["p"])), lambda p: p.isNotNull()))).alias("starts"))
     covered = F.aggregate(F.transform("starts", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("starts", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    return five.select(*plain, F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"))
+    return five.select(*[F.col(k).alias(c) for c, k in zip(carry, carried, strict=True)], *plain[len(carry):], F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:
@@ -125,15 +131,15 @@ def posterior(votes: Column, share: float, good: list[float], bad: list[float])
     return 1 / (1 + F.exp(-total))
 
 
-def judge_quality(df: DataFrame, text: str = "text", key: str = "doc_id", steps: int = STEPS, least: float = LEAST) -> DataFrame:
-    """One row for each document: counts, votes, ``quality`` (posterior), ``base_failed`` and ``kept``.
+def judge_quality(df: DataFrame, text: str = "text", carry: list[str] | None = None, steps: int = STEPS, least: float = LEAST) -> DataFrame:
+    """One row for each document: the carried columns, counts, votes, ``quality`` (posterior), ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than 50 words, or over half of the words repeated.  Null texts
     have no words and fail.  Equal rows get equal rows; an empty table gives no rows.  The
     counts are written once to the shared folder, as both EM and the result need them.
     """
     votes = rule_votes()
-    counted = materialise(text_features(df, text, key), "quality-counts").withColumns({f"vote_{k}": v for k, (v, _) in votes.items()})
+    counted = materialise(text_features(df, text, carry), "quality-counts").withColumns({f"vote_{k}": v for k, (v, _) in votes.items()})
     rules = [f"vote_{k}" for k in votes]
     patterns = materialise(counted.groupBy(vote_places(rules).alias("votes")).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns").coalesce(1)
     good, bad = estimate_accuracies(patterns, [start for _, start in votes.values()], steps)
