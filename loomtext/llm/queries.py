@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, brown_lm, decontaminate, language_id, ngram_join, quality_rules, sharding, url_filter, warc_zip
+from . import bpe_automaton, brown_lm, decontaminate, language_id, license_scan, ngram_join, quality_rules, sharding, url_filter, warc_zip
 from .common import crc_fold, table
 
 
@@ -34,6 +34,10 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -81,6 +85,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_zip, op2_bpe_automaton, op4_ngram_join, op5_quality_rules, op6_brown_lm, op7_language_id, op8_decontaminate, op9_virtual_slots, op10_url_filter)
+    f.__name__: f for f in (op1_warc_zip, op2_bpe_automaton, op3_license_scan, op4_ngram_join, op5_quality_rules, op6_brown_lm, op7_language_id, op8_decontaminate, op9_virtual_slots, op10_url_filter)
 }
 ORACLES: dict[str, str] = {}
