@@ -293,12 +293,12 @@ def quote_attribution(spark, sf):
 # tables
 
 
-_NUMBERED = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+_ITEM_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 _NUMBERED_SQL = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)"
 
 
 def _items(spark, sf):
-    return table(spark, sf, "lineitem").withColumn("rn", F.row_number().over(_NUMBERED))
+    return table(spark, sf, "lineitem").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ITEM_ORDER)))
 
 
 @query(f"""
