@@ -69,6 +69,32 @@ def imported(df: DataFrame, raw_html: str = "drop", key: str = "doc_id", text: s
     return per_document(df, read, fields, [pa.string(), loss], key, text)
 
 
+def migrated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, canonical, bucket, steps)``: texts of the older dialect, by how well they came over."""
+    step = pa.list_(pa.struct([("category", pa.string()), ("message", pa.string())]))
+
+    def read(_, body):
+        from ..grammar.migrate import migrate_text
+
+        canonical, bucket, steps = migrate_text(body)
+        return [(canonical, bucket, [{"category": s.category, "message": s.message} for s in steps])]
+
+    return per_document(df, read, {"canonical": "string", "bucket": "string", "steps": "array<struct<category:string,message:string>>"}, [pa.string(), pa.string(), step], key, text)
+
+
+def document_slugs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, heading_no, slug)``: slugs of the headings of each document, unique in it."""
+    def read(_, body):
+        from ..grammar.document import read_document
+        from ..grammar.migrate import slugs
+
+        tree = read_document(body).tree
+        found = [n for n in tree.walk() if n.type == "heading"] if tree else []
+        return list(enumerate(slugs(["".join(t.data["value"] for t in n.walk() if "value" in t.data) for n in found]), start=1))
+
+    return per_document(df, read, {"heading_no": "bigint", "slug": "string"}, [pa.int64(), pa.string()], key, text)
+
+
 def evidence(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, source_bytes, status, import_stable, node_types)`` for each document."""
     fields = {"source_bytes": "bigint", "status": "string", "import_stable": "boolean", "node_types": "array<string>"}

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.sqlfuncs import language_tag_ok, slug
 from ..operators import documents as D
+from ..operators import fixtures as X
 from ..operators import lines as L
 from ..operators import relations as R
 from ..operators import reports as P
@@ -687,3 +688,53 @@ SELECT (SELECT count(*) FROM orders) AS n_docs, (SELECT count(*) FROM orders WHE
 def corpus_evidence(spark, sf):
     text = "concat('Order ', o_orderkey, if(o_orderkey % 3 = 0, ' `open', ''), '\n')"
     return P.evidence(each(table(spark, sf, "orders"), "o_orderkey", text)).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "invalid").alias("n_invalid"))
+
+
+# migration and fixtures
+
+
+@query("""
+SELECT bucket, count(*) AS n FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'clean' WHEN 3 THEN 'unrepresentable' ELSE 'mapped' END AS bucket FROM part) GROUP BY ROLLUP(bucket)""")
+def migration_gate(spark, sf):
+    text = "concat('Part ', p_partkey, element_at(array('.', ' [x]{lang: de} here.', ' [x]{n: 1}', ' `open'), cast(p_partkey % 4 + 1 as int)), '\n')"
+    return X.gate(P.migrated(each(table(spark, sf, "part"), "p_partkey", text)).select("bucket"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS doc_id, lower(o_orderstatus) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders)
+SELECT doc_id::BIGINT AS doc_id, n::BIGINT AS heading_no, CASE WHEN k = 1 THEN s ELSE s || '-' || k END AS slug FROM s""")
+def document_slugs(spark, sf):
+    docs = joined(table(spark, sf, "orders"), "o_custkey", "o_orderkey", "concat('## ', o_orderstatus)", "\n\n")
+    return P.document_slugs(docs)
+
+
+def _cases(spark, sf):
+    part = table(spark, sf, "part")
+    return part.select(F.col("p_brand").alias("group"), F.expr("concat('c-', p_partkey div 2)").alias("id"), F.expr("concat('1, ', p_size)").alias("spec"), F.expr("concat(p_name, if(p_partkey % 9 = 0, '\n\n', '\n'))").alias("source"), F.expr("p_partkey % 3 = 0").alias("valid"))
+
+
+@query("""SELECT 'c-' || p_partkey // 2 AS id, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1""")
+def fixture_repeated_ids(spark, sf):
+    return X.repeated_ids(_cases(spark, sf))
+
+
+@query("""SELECT 'c-' || p_partkey // 2 AS id, 'final line feed' AS fault FROM part WHERE p_partkey % 9 = 0""")
+def fixture_source_faults(spark, sf):
+    return X.source_faults(_cases(spark, sf)).select("id", "fault")
+
+
+@query("""SELECT s::VARCHAR AS section FROM (SELECT unnest(range(1, 61)) AS s) WHERE s <> 1 AND s NOT IN (SELECT p_size FROM part)""")
+def fixture_uncovered_sections(spark, sf):
+    return X.uncovered_sections(_cases(spark, sf), spark.range(1, 61).select(F.col("id").cast("string").alias("section")))
+
+
+@query("""
+SELECT p_brand AS "group", CAST(7 AS BIGINT) AS n_expected, count(*) AS n_cases FROM part GROUP BY p_brand HAVING count(*) <> 7""")
+def fixture_count_faults(spark, sf):
+    cases = _cases(spark, sf)
+    return X.count_faults(cases, cases.select("group").distinct().withColumn("n", F.lit(7)))
+
+
+@query("""SELECT count(*) AS n_cases, count(DISTINCT p_brand) AS n_groups, count_if(p_partkey % 3 = 0)::BIGINT AS n_valid FROM part""")
+def corpus_facts(spark, sf):
+    return X.facts(_cases(spark, sf))
