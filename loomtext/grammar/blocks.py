@@ -24,6 +24,7 @@ QUOTE = re.compile(r"(?:> ?)+")
 DEFINITION = re.compile(r"\[\^([A-Za-z0-9_-]+)\]: (?=.)", re.S)
 SUFFIX = re.compile(r"\{.*\}\Z", re.S)
 MARKER = re.compile(r"(?P<mark>[-*+:]|[0-9]+[.)])")
+_ROW_MARK = re.compile(r"[|\\`$\[!<&]|h(?=ttp)")
 GRID_MARK = re.compile(r"(::|==|--|\^|<)[ \t]*\Z")
 NOT_TYPE = re.compile(rf"[{WHITE}\x00-\x1f\x7f-\x9f<>\[\]{{}}|\\`]")
 INTRODUCER = re.compile(r"#{1,6}(?: |\Z)|>|[-+*](?: |\Z)|!\[|<|[0-9]+[.)](?: |\Z)|`{3}|~{3}|:{3}|_{3,}\Z|(?=(?:[ \t]*[-*]){3})[-* \t]+\Z")
@@ -110,7 +111,8 @@ class RowScan:
             return
         at = begin = 1 if row.startswith("|") else 0
         self.live, end = begin == 1, len(row)
-        while at < end:
+        while m := _ROW_MARK.search(row, at, end):
+            at = m.start()
             if row[at] == "\\":
                 at += 2 if at + 1 < end else 1
             elif row[at] == "|":
@@ -173,7 +175,7 @@ class BlockReader:
     """Reads the blocks of a text; ``project`` maps its offsets to those of the document."""
 
     def __init__(self, text: str, project: Callable[[int], int] | None = None, note=None):
-        self.text, self.note = text, note
+        self.text, self.note, self.outer = text, note, project is None
         self.project = project or (lambda at: at)
         self.rows = text.split("\n")
         self.starts = [0]
@@ -207,7 +209,7 @@ class BlockReader:
         return self._placed(nodes)
 
     def _placed(self, nodes: list[Node]) -> list[Node]:
-        for top in nodes:
+        for top in () if self.outer else nodes:
             for n in top.walk():
                 n.span = n.span and (self.project(n.span[0]), self.project(n.span[1]))
         return nodes

@@ -154,10 +154,10 @@ def references(nodes: list[Node]) -> list[Node]:
     return [n for top in nodes for n in top.walk() if n.type == "footnoteReference"]
 
 
-def footnote_order(kids: list[Node], notes: list[Node]) -> tuple[list[str], list[str]]:
+def footnote_order(kids: list[Node], notes: list[Node], refs: list[Node] | None = None) -> tuple[list[str], list[str]]:
     """Defined identifiers by first reference, then the unused ones in ASCII order."""
     defined = {n.data["identifier"] for n in notes}
-    used = list(dict.fromkeys(r.data["identifier"] for r in references(kids)))
+    used = list(dict.fromkeys(r.data["identifier"] for r in (references(kids) if refs is None else refs)))
     return [i for i in used if i in defined], sorted(defined.difference(used))
 
 
@@ -168,12 +168,12 @@ def _relations(kids: list[Node], notes: list[Node], findings: list[Finding]) ->
     for name, group in by.items():
         if len(group) > 1:
             findings.append(Finding("semantic", f"duplicate footnote definition [^{name}]", *group[1].span))
-    seen = set()
-    for r in references(kids):
+    seen, refs = set(), references(kids)
+    for r in refs:
         if (name := r.data["identifier"]) not in seen and name not in by:
             findings.append(Finding("semantic", f"footnote reference [^{name}] has no definition", *(r.span or (None, None))))
         seen.add(name)
-    used, unused = footnote_order(kids, notes)
+    used, unused = footnote_order(kids, notes, refs) if refs or notes else ([], [])
     for name in unused:
         findings.append(Finding("advisory", f"unused footnote definition [^{name}]", *by[name][0].span))
     ids = set()

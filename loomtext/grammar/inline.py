@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -10,7 +11,8 @@ from .attributes import context_fault, read_destination, read_opener
 from .chars import PUNCTUATION, REFERENCE, bare_url_end, char, entity, is_email, is_url, kind_of, is_white
 from .tree import Fault, Node
 
-_SIGNIFICANT = re.compile(r"[\\`$!\[<&*_~+\-=^h]")
+#: Where something other than plain text may start; bare URLs are found apart, as their letter is too common.
+_SIGNIFICANT = re.compile(r"[\\`$!\[<&*_~+\-=^]")
 _DELIMITERS = {"**": "strong", "__": "strong", "~~": "deletion", "--": "obsolete", "++": "insert", "==": "mark", "*": "em", "_": "em"}
 _ONE_LINE = ("obsolete", "insert", "mark")
 _ESCAPED = re.compile(rf"\\([{PUNCTUATION}])")
@@ -32,12 +34,10 @@ class Scope:
 
 
 def delimiter_at(text: str, at: int, end: int) -> str | None:
-    for d in _DELIMITERS:
-        if text.startswith(d, at, end):
-            if d == "--" and "-" in (char(text, at - 1), char(text, at + 2)):
-                return None
-            return d
-    return None
+    pair = text[at:min(at + 2, end)]
+    if pair in _DELIMITERS and len(pair) == 2:
+        return None if pair == "--" and "-" in (char(text, at - 1), char(text, at + 2)) else pair
+    return pair[:1] if pair[:1] in ("*", "_") else None
 
 
 def span_close(text: str, at: int, end: int, opener: str, closer: str) -> int:
@@ -161,18 +161,28 @@ class InlineReader:
     def read(self) -> list[Node]:
         at, text, end = self.start, self.text, self.end
         breaks = self.scope.breaks
+        places = sorted(b for b in breaks if b < end)
+        following, url = bisect_left(places, at), text.find("http", at, end)
         while at < end:
-            if (gap := breaks.get(at)) is not None:
+            if breaks and (gap := breaks.get(at)) is not None:
                 while self.stack[-1].kind in _ONE_LINE:
                     self._reopen()
                 self._add(Node("softBreak", span=(gap[1], gap[2])))
                 at = gap[0]
                 continue
-            if (past := self._close(at)) is not None:
+            if len(self.stack) > 1 and (past := self._close(at)) is not None:
                 at = past
                 continue
             m = _SIGNIFICANT.search(text, at, end)
-            stop = min([m.start() if m else end, *(b for b in breaks if at < b)]) if breaks else (m.start() if m else end)
+            stop = m.start() if m else end
+            if 0 <= url < at:
+                url = text.find("http", at, end)
+            if 0 <= url < stop:
+                stop = url
+            while following < len(places) and places[following] <= at:
+                following += 1
+            if following < len(places) and places[following] < stop:
+                stop = places[following]
             if stop > at:
                 self._text(text[at:stop], at, stop)
                 at = stop

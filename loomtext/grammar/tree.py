@@ -39,8 +39,9 @@ class Node:
         while stack:
             node = stack.pop()
             yield node
-            for kids in reversed(list(node.slots.values())):
-                stack.extend(reversed(kids))
+            if node.slots:
+                for kids in reversed(node.slots.values()):
+                    stack.extend(reversed(kids))
 
 
 @dataclass(slots=True)
