@@ -10,9 +10,12 @@ Equal sets form a class at once.  The join then runs in two parts:
 2. *Rest.*  Prefix filtering is complete: under one global order of the n-grams two
    linked sets share an n-gram among the first ``n - ceil(0.85 n) + 1`` of each.  The
    order puts n-grams that are common in the corpus (by a count sketch of fixed size)
-   last and is random otherwise.  Only pairs from different components are still of
-   interest; they are checked with prefix trees too, representatives of components
-   first, then all pairs that remain.
+   last and is random otherwise.  Only n-grams in prefixes of different components are
+   still of interest.  The rows of such an n-gram are compared inside a task (long lists
+   in pairs of parts, over several tasks), and only pairs that pass a bound by parity bit
+   maps come out: bits that differ are n-grams that differ.  A group of texts that share
+   much and link seldom so costs comparisons of 64 bytes and not rows.  What is left is
+   checked with prefix trees too.
 
 So each link between different components is found and none inside one is needed.  The
 prefix tree stores sets as rank sequences, most common ranks first; a probe walks it
@@ -36,11 +39,13 @@ from .components import components
 WORDS, SHARE = 4, 85
 #: Seed keys for each document and min-hashes in each.
 KEYS, HASHES = 6, 2
-#: Counters of the sketch (a power of two), bits of the filter of shared n-grams, both of fixed size.
-SKETCH_BITS, LIVE_BITS = 22, 26
+#: Counters of the sketch and bits of the filter of shared n-grams, as powers of two: both of fixed size.
+SKETCH_BITS, LIVE_BITS = 24, 28
 BLOCK = 1 << 16
-#: Sets and n-grams in one prefix tree at most, and rounds between representatives.
-TREE_SETS, TREE_GRAMS, ROUNDS = 256, 2_000_000, 3
+#: Sets and n-grams in one prefix tree at most, and n-grams that a task sorts at a time.
+TREE_SETS, TREE_GRAMS, SORTED = 256, 2_000_000, 1 << 19
+#: Rows of one n-gram that one task compares with each other; longer lists are split into parts of this size.
+LIST_ROWS = 4096
 #: Ids that may be broadcast (16 MB); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -80,10 +85,31 @@ def _signature(grams: np.ndarray) -> str:
 
 
 def _keys(grams: np.ndarray) -> list[int]:
-    lows = [int(_stir(grams ^ s).min()) for s in _SEEDS[:KEYS * HASHES]]
+    lows = [int((grams * s).min()) for s in _SEEDS[:KEYS * HASHES]]  # n-gram hashes are mixed well, the factors are odd
     return [hash((i, *lows[i * HASHES:(i + 1) * HASHES])) for i in range(KEYS)]
 
 
+def _parity(grams: np.ndarray) -> bytes:
+    """A bit for each remainder of the n-grams, set where an odd number has it; twice as many bits as n-grams, at least."""
+    size = max(512, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(parity: bytes) -> bytes:
+    """A parity map folded to 512 bits, which never adds differing bits."""
+    x = np.frombuffer(parity, np.uint64)
+    return np.bitwise_xor.reduce(x.reshape(-1, 8), axis=0).tobytes()
+
+
+def _differing(p: bytes, q: bytes) -> int:
+    """Bits that differ between two parity maps, the longer one folded; no more than n-grams differ."""
+    x, y = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def least_overlap(a: int, b: int, share: int = SHARE) -> int:
     """The overlap that two sets of these sizes need."""
     return -(-share * (a + b) // (100 + share))
@@ -164,15 +190,15 @@ def links_in(sets: list[np.ndarray], share: int = SHARE, joined: list[int] | Non
 
 def _prepare(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """A row for each document (row id, size, signature, seed keys) and blocks of each task's count sketch."""
-    schema = "rid bigint, doc bigint, n bigint, sig string, keys array<bigint>, block int, task int, sketch binary"
+    schema = "rid bigint, doc bigint, n bigint, sig string, keys array<bigint>, parity binary, block int, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        rid, sketch = task << 33, np.zeros(1 << SKETCH_BITS, np.uint32)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
-        names = ["rid", "doc", "n", "sig", "keys", "block", "task", "sketch"]
+        rid, since, sketch = task << 33, 0, np.zeros(1 << SKETCH_BITS, np.uint16)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
+        names = ["rid", "doc", "n", "sig", "keys", "parity", "block", "sketch"]
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 ids = batch.column(0).slice(start, 512).to_pylist()
@@ -181,37 +207,58 @@ def _prepare(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                     grams = gram_set(t, words)
                     if len(grams):
                         np.add.at(sketch, (grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
-                        out.append((rid, doc, len(grams), _signature(grams), _keys(grams), None, None, None))
+                        out.append((rid, doc, len(grams), _signature(grams), _keys(grams), _parity(grams), None, None))
                     else:
                         out.append((rid, doc, 0, None, None, None, None, None))
                     rid += 1
+                since += len(ids)
+                if since > 10_000:  # counts stay below what 16 bits hold; what is this common is common
+                    np.minimum(sketch, 30_000, out=sketch)
+                    since = 0
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-        if sketch.any():
-            rows = [(None, None, None, None, None, b, task, zlib.compress(sketch[b * BLOCK:(b + 1) * BLOCK].tobytes(), 1)) for b in range((1 << SKETCH_BITS) // BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        for start in range(0, 1 << SKETCH_BITS, 64 * BLOCK):
+            rows = []
+            for block in range(start // BLOCK, min(start // BLOCK + 64, (1 << SKETCH_BITS) // BLOCK)):
+                part = sketch[block * BLOCK:(block + 1) * BLOCK]
+                if len(at := np.flatnonzero(part)):
+                    rows.append((None, None, None, None, None, None, block, zlib.compress(at.astype(np.uint16).tobytes() + part[at].tobytes(), 1)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, schema)
 
 
 def _common_buckets(prepared: DataFrame) -> bytes:
-    """Bit map of the sketch buckets of common n-grams; the tasks' sketches are added up in two steps."""
-    def add(size: int):
-        def run(_, table: pa.Table) -> pa.Table:
-            total = np.zeros(BLOCK, np.uint64)
-            for raw in table.column("sketch"):
-                total += np.frombuffer(zlib.decompress(raw.as_py()), f"u{size}")
-            return pa.table({"block": table.column("block").slice(0, 1), "task": pa.array([0], pa.int32()), "sketch": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-        return run
-
-    rows = prepared.where("block is not null").select("block", (F.col("task") % 32).cast("int").alias("task"), "sketch")
-    schema = "block int, task int, sketch binary"
-    some = rows.groupBy("block", "task").applyInArrow(lambda k, t: add(4)(k, t), schema)
-    total = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for r in some.groupBy("block").applyInArrow(lambda k, t: add(8)(k, t), schema).collect():  # 1 << SKETCH_BITS counters in all
-        total[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["sketch"]), np.uint64)
-    mean = total.mean()
-    return np.packbits(total > mean + 6 * np.sqrt(mean) + 32, bitorder="little").tobytes()
+    """Bit map of the sketch buckets of common n-grams: counts well above what chance puts into a bucket.
+
+    The tasks' blocks of one range meet in one task, which adds them up one by one.
+    """
+    total = prepared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    mean = total / (1 << SKETCH_BITS)
+    most = mean + 4 * mean ** 0.5 + 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(block: int, counts: np.ndarray) -> pa.RecordBatch:
+            bits = np.packbits(counts > most, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"])
+
+        own, counts = None, np.zeros(BLOCK, np.uint64)
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != own and own is not None:
+                    yield settle(own, counts)
+                    counts[:] = 0
+                own = block
+                both = np.frombuffer(zlib.decompress(raw), np.uint16)
+                counts[both[:len(both) // 2]] += both[len(both) // 2:]
+        if own is not None:
+            yield settle(own, counts)
+
+    rows = prepared.where("block is not null").select("block", "sketch").repartition(F.col("block")).sortWithinPartitions("block")
+    bits = bytearray(1 << (SKETCH_BITS - 3))
+    for r in rows.mapInArrow(run, "block int, bits binary").toLocalIterator():  # 1 << SKETCH_BITS bits in all
+        bits[r["block"] * BLOCK // 8:(r["block"] + 1) * BLOCK // 8] = r["bits"]
+    return bytes(bits)
 
 
 def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -226,7 +273,7 @@ def _prefixes(docs: DataFrame, common: bytes, key: str, text: str, words: int, s
         bits = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
-                ids, sigs, sizes, firsts = [], [], [], []
+                ids, sigs, sizes, maps, firsts = [], [], [], [], []
                 for doc, t in zip(batch.column(0).slice(start, 512).to_pylist(), batch.column(1).slice(start, 512).to_pylist(), strict=True):
                     grams = gram_set(t, words)
                     if not len(grams):
@@ -236,12 +283,13 @@ def _prefixes(docs: DataFrame, common: bytes, key: str, text: str, words: int, s
                     ids.append(doc)
                     sigs.append(_signature(grams))
                     sizes.append(len(grams))
+                    maps.append(_folded(_parity(grams)))
                     firsts.append(first.view(np.int64))
                 if ids:
                     offsets = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))], names=["doc", "sig", "n", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))], names=["doc", "sig", "n", "map", "grams"])
 
-    return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, "doc bigint, sig string, n bigint, grams array<bigint>")
+    return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, "doc bigint, sig string, n bigint, map binary, grams array<bigint>")
 
 
 def _check(edges: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, share: int) -> DataFrame:
@@ -308,43 +356,165 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams of a batch of prefixes, the row of each and its place in the row."""
+    lists = batch.column(batch.schema.get_field_index("grams"))
+    sizes = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _shared_places(prefixes: DataFrame) -> bytes:
+    """Bit map of the n-gram remainders that lie in prefixes of two components or more.
+
+    Tasks sort their n-grams by remainder and pass on each (remainder, component) once, in
+    blocks of fixed width; a block's parts meet in one task, which keeps remainders with
+    different components.
+    """
+    mask = (1 << LIVE_BITS) - 1
+
+    def parts(place: np.ndarray, comp: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((comp, place))
+        place, comp = place[order], comp[order]
+        first = np.ones(len(place), bool)
+        first[1:] = (place[1:] != place[:-1]) | (comp[1:] != comp[:-1])
+        place, comp = place[first], comp[first]
+        block = place // BLOCK
+        begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        ends = np.r_[begins[1:], len(place)]
+        low = (place % BLOCK).astype(np.uint16)
+        rows = [(int(block[i]), low[i:j].tobytes(), comp[i:j].tobytes()) for i, j in zip(begins, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "places", "comps"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            flat, row, _ = _flat(batch)
+            held.append((flat & mask, batch.column(0).to_numpy()[row]))
+            if sum(len(p) for p, _ in held) > SORTED:
+                yield parts(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held and any(len(p) for p, _ in held):
+            yield parts(*map(np.concatenate, zip(*held, strict=True)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(block: int, places: list[bytes], comps: list[bytes]) -> pa.RecordBatch:
+            place, comp = np.frombuffer(b"".join(places), np.uint16), np.frombuffer(b"".join(comps), np.int64)
+            order = np.lexsort((comp, place))
+            place, comp = place[order], comp[order]
+            mixed = (place[1:] == place[:-1]) & (comp[1:] != comp[:-1])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.unique(place[1:][mixed]).tobytes()], pa.binary())], names=["block", "places"])
+
+        own, places, comps = None, [], []
+        for batch in batches:
+            for block, p, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if block != own and places:
+                    yield settle(own, places, comps)
+                    places, comps = [], []
+                own = block
+                places.append(p)
+                comps.append(c)
+        if places:
+            yield settle(own, places, comps)
+
+    dealt = prefixes.select("comp", "grams").mapInArrow(deal, "block int, places binary, comps binary")
+    found = dealt.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(keep, "block int, places binary").where(F.octet_length("places") > 0)
+    bits = np.zeros(1 << (LIVE_BITS - 3), np.uint8)
+    for r in found.toLocalIterator():  # 1 << LIVE_BITS places in all
+        at = r["block"] * BLOCK + np.frombuffer(bytes(r["places"]), np.uint16).astype(np.int64)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits.tobytes()
+
+
 def _postings(prefixes: DataFrame) -> DataFrame:
-    """``(gram, node, comp, n, pos)`` of the n-grams that may lie in the prefixes of two components."""
-    grams = prefixes.select(F.explode("grams").alias("gram"), "comp")
-    shared = grams.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    place = F.pmod(F.col("gram"), F.lit(1 << LIVE_BITS)) + 1  # Spark's bitmaps count from 1
-    maps = shared.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    live = np.zeros(1 << (LIVE_BITS - 3), np.uint8)
-    for r in maps.collect():  # 1 << LIVE_BITS bits in all
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["block"] - 1) * len(part)
-        live[at:at + len(part)] = part
-    held = prefixes.sparkSession.sparkContext.broadcast(live.tobytes())
+    """``(gram, node, comp, n, pos, map)`` of the n-grams that may lie in the prefixes of two components."""
+    held = prefixes.sparkSession.sparkContext.broadcast(_shared_places(prefixes))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            lists = batch.column(3)
-            flat = lists.flatten().to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = _bit(bits, flat & ((1 << LIVE_BITS) - 1))
-            row = row[keep]
-            columns = [pa.array(flat[keep]), *(pa.array(batch.column(i).to_numpy()[row]) for i in range(3)), pa.array(pos[keep])]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "node", "comp", "n", "pos"])
+            flat, row, pos = _flat(batch)
+            kept = _bit(bits, flat & ((1 << LIVE_BITS) - 1))
+            row = row[kept]
+            columns = [pa.array(flat[kept]), *(pa.array(batch.column(i).to_numpy()[row]) for i in range(3)), pa.array(pos[kept]), batch.column(3).take(pa.array(row))]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "node", "comp", "n", "pos", "map"])
 
-    return prefixes.select("node", "comp", "n", "grams").mapInArrow(run, "gram bigint, node bigint, comp bigint, n bigint, pos bigint")
+    return prefixes.select("node", "comp", "n", "map", "grams").mapInArrow(run, "gram bigint, node bigint, comp bigint, n bigint, pos bigint, map binary")
 
 
 def _pairs(postings: DataFrame, share: int) -> DataFrame:
-    """Candidate pairs from different components that share an n-gram early enough in both prefixes."""
-    left = postings.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "pos")])
-    right = postings.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "pos")])
-    most = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") > F.col("node_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), share)
-    enough = (100 + share) * (most + F.least("pos_a", "pos_b")) >= share * (F.col("n_a") + F.col("n_b"))
-    return left.join(right, "gram").where(fits & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    """Candidate pairs ``(a, b, n_a, n_b)`` from different components that share an n-gram early enough in both prefixes.
+
+    The rows of one n-gram meet in one task; lists beyond ``LIST_ROWS`` are cut into parts
+    by node, and each pair of parts meets in a task of its own.
+    """
+    long = materialise(postings.groupBy("gram").count().where(F.col("count") > LIST_ROWS).select("gram", F.ceil(F.col("count") / LIST_ROWS).cast("int").alias("parts")), "join-long")
+    rows = postings.withColumn("part", F.lit(0))
+    if not long.isEmpty():
+        small = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = postings.join(small, "gram", "left").withColumn("own", own).withColumn("k", other)
+        rows = rows.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.least("own", "k") * F.col("parts") + F.greatest("own", "k"))).drop("parts", "own", "k")
+
+    def compare(group, node, comp, n, pos, maps) -> pa.RecordBatch | None:
+        found = []
+        at = np.arange(len(group))
+        step = 1
+        while len(at := at[at + step < len(group)]) and len(at := at[group[at] == group[at + step]]):
+            for i in np.array_split(at, -(-len(at) // 100_000)):
+                j = i + step
+                both = n[i] + n[j]
+                early = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+                ok = (comp[i] != comp[j]) & (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])) & ((100 + share) * early >= share * both)
+                i, j, both = i[ok], j[ok], both[ok]
+                differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
+                near = (100 + share) * (both - differ) >= 2 * share * both
+                found.append(np.stack((node[i[near]], node[j[near]], n[i[near]], n[j[near]])))
+            step += 1
+        if not found or not (pairs := np.concatenate(found, axis=1)).size:
+            return None
+        swap = pairs[0] < pairs[1]
+        pairs[:, swap] = pairs[:, swap][[1, 0, 3, 2]]
+        pairs = np.unique(pairs, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], names=["a", "b", "n_a", "n_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            own = [batch.column(i).to_numpy() for i in range(6)]
+            raw = batch.column(6)
+            own.append(np.frombuffer(raw.buffers()[2], np.uint8)[64 * raw.offset:64 * (raw.offset + len(raw))].view(np.uint64).reshape(-1, 8) if raw.offset == 0 and len(raw) else np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, 8))
+            held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            if len(held[0]) > SORTED // 2:
+                last = int(np.flatnonzero((held[0] == held[0][-1]) & (held[1] == held[1][-1]))[0])
+                if last:
+                    if (out := settle([x[:last] for x in held])) is not None:
+                        yield out
+                    held = [x[last:] for x in held]
+        if held is not None and len(held[0]) and (out := settle(held)) is not None:
+            yield out
+
+    def settle(held: list[np.ndarray]) -> pa.RecordBatch | None:
+        gram, part, *rest = held
+        group = np.cumsum(np.r_[False, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
+        return compare(group, *rest)
+
+    dealt = rows.select("gram", "part", "node", "comp", "n", "pos", "map").repartition(F.col("gram"), F.col("part")).sortWithinPartitions("gram", "part")
+    return dealt.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint").distinct()
+
+
+def _near(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """The pairs whose parity maps differ in no more bits than linked sets of these sizes differ in n-grams."""
+    maps = classes.select("node", "parity")
+    both = pairs.join(maps.select(F.col("node").alias("a"), F.col("parity").alias("p")), "a").join(maps.select(F.col("node").alias("b"), F.col("parity").alias("q")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array(batch.column(2)) + np.array(batch.column(3))
+            differ = np.array([_differing(p, q) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((100 + share) * (n - differ) >= 2 * share * n))
+
+    return both.select("a", "b", "n_a", "n_b", "p", "q").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -355,9 +525,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts, and an empty table gives no rows.
     """
     prepared = materialise(_prepare(docs, key, text, words), "join-rows")
-    rows = prepared.where("block is null").select("rid", "doc", "n", "sig", "keys")
-    grouped = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("rid", "doc")).alias("top"), F.min("doc").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = materialise(grouped.select("sig", F.col("top.rid").alias("node"), F.col("top.doc").alias("doc"), "least", "n", "keys"), "join-classes")
+    rows = prepared.where("block is null").select("rid", "doc", "n", "sig", "keys", "parity")
+    grouped = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("rid", "doc")).alias("top"), F.min("doc").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity"))
+    classes = materialise(grouped.select("sig", F.col("top.rid").alias("node"), F.col("top.doc").alias("doc"), "least", "n", "keys", "parity"), "join-classes")
     check = lambda pairs: _check(pairs, classes, docs, key, text, words, share)
 
     links = materialise(check(materialise(_seed_edges(classes, share), "join-seeds")), "join-links")
@@ -365,19 +535,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     first = _prefixes(docs, _common_buckets(prepared), key, text, words, share)
     own = classes.select(F.col("sig").alias("of"), "node", F.col("doc").alias("top"))
-    first = first.join(own, (F.col("sig") == F.col("of")) & F.col("doc").eqNullSafe(F.col("top"))).select("node", "n", "grams")
+    first = first.join(own, (F.col("sig") == F.col("of")) & F.col("doc").eqNullSafe(F.col("top"))).select("node", "n", "map", "grams")
     postings = materialise(_postings(materialise(_labelled(first, comps), "join-prefixes")), "join-postings")
-    for _ in range(ROUNDS):  # one member speaks for each component and n-gram
-        speak = postings.groupBy("gram", "comp").agg(F.min(F.struct("pos", "node", "n")).alias("s")).select("gram", "comp", "s.*")
-        found = materialise(check(materialise(_pairs(speak, share), "join-pairs")), "join-links")
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        comps = components(links)
-        postings = materialise(_labelled(postings.drop("comp"), comps), "join-postings")
-    mixed = postings.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    links = materialise(links.union(check(materialise(_pairs(postings.join(mixed, "gram", "left_semi"), share), "join-pairs"))), "join-links")
-    named = _labelled(classes.select("sig", "node", "least"), components(links))
+    found = materialise(check(materialise(_near(_pairs(postings, share), classes, share), "join-pairs")), "join-links")
+    if not found.isEmpty():
+        comps = components(links.union(found))
+    named = _labelled(classes.select("sig", "node", "least"), comps)
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     final = named.join(smallest, "comp").select("sig", "component_id")
     return rows.select("doc", F.col("n").alias("n_shingles"), "sig").join(final, "sig", "left").select(
