@@ -24,9 +24,8 @@ def parsed_stream(stream: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def verdict_counts(stream: DataFrame, at: str, window: str = "1 hour", late: str = "10 minutes", text: str = "text") -> DataFrame:
     """Verdicts by time window, for streams that carry an event time."""
-    marked = stream.withColumn("_key", F.struct(F.col(at).alias("at"), F.lit(0).alias("x")))
-    rows = parse_documents(marked.select(F.col(at).cast("timestamp").alias("doc_id"), text), "doc_id", text, nodes=False)
-    return rows.withWatermark("doc_id", late).groupBy(F.window("doc_id", window), "status").count()
+    rows = parse_documents(stream.select(F.col(at).cast("timestamp").alias("at"), text), "at", text, nodes=False)
+    return rows.withWatermark("at", late).groupBy(F.window("at", window), "status").count()
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str):

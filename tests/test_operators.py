@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import sqlfuncs
 from loomtext.operators import documents, lines, relations, reports, transport, validation
 from loomtext.sources import files
-from loomtext.streaming import parsed_stream, stream_documents, write_stream
+from loomtext.streaming import parsed_stream, stream_documents, verdict_counts, write_stream
 
 EDGES = [(1, None), (2, ""), (3, "a\n"), (3, "a\n"), (None, "\ufeffb\r\nc"), (5, "x" * 200_000), (6, "`open"), (7, "a\rb")]
 
@@ -80,6 +80,15 @@ def test_stream_and_sql(spark, tmp_path):
     assert [r["type"] for r in spark.sql("select * from blocks('# a\n\nb')").collect()] == ["heading", "paragraph"]
 
 
+def test_windowed_stream(spark, tmp_path):
+    rows = [(f"2024-01-01 0{i}:30:00", "a" if i % 2 else "`a") for i in range(6)]
+    spark.createDataFrame(rows, "ts string, text string").select(F.to_timestamp("ts").alias("ts"), "text").write.parquet(str(tmp_path / "in"))
+    stream = stream_documents(spark, str(tmp_path / "in"), "ts timestamp, text string")
+    query = verdict_counts(stream, "ts").writeStream.format("memory").queryName("verdicts").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r["status"], r["count"]) for r in spark.table("verdicts").collect()} == {("ok", 1), ("invalid", 1)} and spark.table("verdicts").count() == 6
+
+
 def test_reports(spark):
     docs = table(spark, [(1, "a\n"), (2, "a"), (3, "`a"), (4, "x[^a]")])
     assert {r["outcome"]: r["n"] for r in reports.triage(docs).collect()} == {"canonical": 1, "noncanonical": 1, "syntax": 1, "semantic": 1}
