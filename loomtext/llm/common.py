@@ -44,13 +44,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a table that ``materialise`` or an operator wrote to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,7 +78,3 @@ def file_system(uri: str):
     if (path := local_path(uri)) is not None:
         return fs.LocalFileSystem(), os.path.normpath(path)
     return fs.FileSystem.from_uri(uri)
-
-
-def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return df.drop(*[n for n in names if n in df.columns])
