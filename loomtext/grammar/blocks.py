@@ -25,6 +25,7 @@ DEFINITION = re.compile(r"\[\^([A-Za-z0-9_-]+)\]: (?=.)", re.S)
 SUFFIX = re.compile(r"\{.*\}\Z", re.S)
 MARKER = re.compile(r"(?P<mark>[-*+:]|[0-9]+[.)])")
 _ROW_MARK = re.compile(r"[|\\`$\[!<&]|h(?=ttp)")
+_OPENERS = frozenset(" \t#-*+:0123456789>`~_![<={") | {""}
 GRID_MARK = re.compile(r"(::|==|--|\^|<)[ \t]*\Z")
 NOT_TYPE = re.compile(rf"[{WHITE}\x00-\x1f\x7f-\x9f<>\[\]{{}}|\\`]")
 INTRODUCER = re.compile(r"#{1,6}(?: |\Z)|>|[-+*](?: |\Z)|!\[|<|[0-9]+[.)](?: |\Z)|`{3}|~{3}|:{3}|_{3,}\Z|(?=(?:[ \t]*[-*]){3})[-* \t]+\Z")
@@ -37,6 +38,11 @@ def trim_end(text: str) -> str:
     return text.rstrip(_BLANKS)
 
 
+def is_prose(line: str, following: str | None) -> bool:
+    """Whether a line can only be paragraph text: no opener at its start, no pipe, no fence of underscores below."""
+    return line[:1] not in _OPENERS and "|" not in line and not (following or "").startswith("___")
+
+
 def is_blank(text: str) -> bool:
     return not text.strip(_BLANKS)
 
@@ -51,8 +57,10 @@ def split_id(line: str) -> tuple[str, str | None]:
 
 def suffix_of(line: str) -> str | None:
     """The id of a line that is only ``{…}``; an empty text for a malformed one, None for other lines."""
+    if line[:1] != "{":
+        return None
     body = trim_end(line)
-    if not (body.startswith("{") and body.endswith("}") and len(body) > 1):
+    if not (body.endswith("}") and len(body) > 1):
         return None
     own = body[2:-1] if body.startswith("{#") else ""
     return own if is_identifier(own) else ""
@@ -256,6 +264,8 @@ class BlockReader:
     def block(self, context: str, stop: Callable[[int], bool]) -> Node:
         """The block that starts on this line."""
         line = self.line()
+        if is_prose(line, self.line(1)):
+            return self._paragraph(context, stop)
         for reader in (self._lined, self._fenced):
             if node := reader(context):
                 return node
@@ -344,6 +354,8 @@ class BlockReader:
     def _interrupts(self, first: int, line: str, context: str, stop) -> bool:
         """Whether a line inside a paragraph starts something else; a Setext underline is a fault."""
         following = self.line(1)
+        if is_prose(line, following):
+            return False
         if context == "document" and DEFINITION.match(line) or self._starts_resource(line) or starts_table(line, following):
             return True
         if LINED.match(line) and INTRODUCER.match(self.rows[first]):
@@ -363,8 +375,13 @@ class BlockReader:
             inner = row.lstrip(WHITE)
             a = self.begin(k) + len(row) - len(inner)
             edges.append((a, a + len(inner.rstrip(WHITE))))
-        if first == last and (body := self.text[slice(*edges[0])]) and not body.strip("="):
-            return [Node("text", {"value": body}, span=tuple(map(self.project, edges[0])))]
+        if first == last:
+            body = self.text[slice(*edges[0])]
+            if body and not body.strip("="):
+                return [Node("text", {"value": body}, span=tuple(map(self.project, edges[0])))]
+            if not body:
+                raise self.fault("empty paragraph", first, last)
+            return self._inline(*edges[0], first, last, paragraph_at=edges[0][0])
         chunk = 0
         for i, (a, b) in enumerate(edges):
             hard, stop = False, b
