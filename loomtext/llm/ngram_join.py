@@ -348,7 +348,9 @@ def _seed_edges(classes: DataFrame, share: int) -> DataFrame:
     keyed = classes.select("node", "n", F.explode("keys").alias("k"))
     picked = keyed.groupBy("k").agg(F.min(F.struct(F.xxhash64("node", "k").alias("h"), F.col("node").alias("top"), F.col("n").alias("top_n"))).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1")
     stars = keyed.join(picked.select("k", "s.top", "s.top_n"), "k").where((F.col("node") != F.col("top")) & _sizes_fit(F.col("n"), F.col("top_n"), share))
-    return stars.select(F.greatest("node", "top").alias("a"), F.least("node", "top").alias("b")).distinct()
+    first = F.col("node") > F.col("top")
+    sizes = F.when(first, F.col("n")).otherwise(F.col("top_n")).alias("n_a"), F.when(first, F.col("top_n")).otherwise(F.col("n")).alias("n_b")
+    return stars.select(F.greatest("node", "top").alias("a"), F.least("node", "top").alias("b"), *sizes).distinct()
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -441,9 +443,11 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     return prefixes.select("node", "comp", "n", "map", "grams").mapInArrow(run, "gram bigint, node bigint, comp bigint, n bigint, pos bigint, map binary")
 
 
-def _pairs(postings: DataFrame, share: int) -> DataFrame:
+def _pairs(postings: DataFrame, share: int, best: bool) -> DataFrame:
     """Candidate pairs ``(a, b, n_a, n_b)`` from different components that share an n-gram early enough in both prefixes.
 
+    With ``best`` a task passes on only the closest pair of any two components, as one link joins them.
+
     The rows of one n-gram meet in one task; lists beyond ``LIST_ROWS`` are cut into parts
     by node, and each pair of parts meets in a task of its own.
     """
@@ -469,10 +473,15 @@ def _pairs(postings: DataFrame, share: int) -> DataFrame:
                 i, j, both = i[ok], j[ok], both[ok]
                 differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
                 near = (100 + share) * (both - differ) >= 2 * share * both
-                found.append(np.stack((node[i[near]], node[j[near]], n[i[near]], n[j[near]])))
+                i, j = i[near], j[near]
+                found.append(np.stack((node[i], node[j], n[i], n[j], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), differ[near])))
             step += 1
         if not found or not (pairs := np.concatenate(found, axis=1)).size:
             return None
+        if best:
+            pairs = pairs[:, np.lexsort((pairs[1], pairs[0], pairs[6], pairs[5], pairs[4]))]
+            pairs = pairs[:, np.r_[True, (pairs[4:6, 1:] != pairs[4:6, :-1]).any(0)]]
+        pairs = pairs[:4]
         swap = pairs[0] < pairs[1]
         pairs[:, swap] = pairs[:, swap][[1, 0, 3, 2]]
         pairs = np.unique(pairs, axis=1)
@@ -530,16 +539,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = materialise(grouped.select("sig", F.col("top.rid").alias("node"), F.col("top.doc").alias("doc"), "least", "n", "keys", "parity"), "join-classes")
     check = lambda pairs: _check(pairs, classes, docs, key, text, words, share)
 
-    links = materialise(check(materialise(_seed_edges(classes, share), "join-seeds")), "join-links")
+    links = materialise(check(materialise(_near(_seed_edges(classes, share), classes, share), "join-seeds")), "join-links")
     comps = components(links)
 
     first = _prefixes(docs, _common_buckets(prepared), key, text, words, share)
     own = classes.select(F.col("sig").alias("of"), "node", F.col("doc").alias("top"))
     first = first.join(own, (F.col("sig") == F.col("of")) & F.col("doc").eqNullSafe(F.col("top"))).select("node", "n", "map", "grams")
     postings = materialise(_postings(materialise(_labelled(first, comps), "join-prefixes")), "join-postings")
-    found = materialise(check(materialise(_near(_pairs(postings, share), classes, share), "join-pairs")), "join-links")
-    if not found.isEmpty():
-        comps = components(links.union(found))
+    for best in (True, False):  # first what may join two components with one check, then every pair that is left
+        found = materialise(check(materialise(_near(_pairs(postings, share, best), classes, share), "join-pairs")), "join-links")
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = components(links)
+            postings = materialise(_labelled(postings.drop("comp"), comps), "join-postings") if best else postings
     named = _labelled(classes.select("sig", "node", "least"), comps)
     smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     final = named.join(smallest, "comp").select("sig", "component_id")
