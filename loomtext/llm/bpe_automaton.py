@@ -38,7 +38,7 @@ _SPLIT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^
 _SPLIT = regex.compile(SPLIT)
 
 #: Bounds of what one worker keeps: pre-split words with their ids, and compiled states.
-WORDS_KEPT, STATES_KEPT = 300_000, 8_000
+WORDS_KEPT, STATES_KEPT = 200_000, 6_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -234,6 +234,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
                 part = rest.slice(start, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, column, *([pa.array(back, pa.string())] if decoded else [])], names=[*kept, *fields])
+        tokens.older = {}  # the worker may go on to other operators
 
     return df.mapInArrow(run, schema)
 
