@@ -41,6 +41,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of tables that are done with
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,13 +10,19 @@ from .common import materialise
 ROUNDS = 40
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: every node's neighbours are hung under the smallest of them."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    hung = both.join(least, "a").where(F.col("b") > F.col("a") if large else F.lit(True)).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    own = least.select("a", F.col("m").alias("b"))
-    return (hung if large else hung.union(own)).union(own if large else hung.limit(0)).where("a <> b").distinct()
+def _hung(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node's neighbours ``(a, b, m)`` with the smallest of node and neighbours, and ``(a, m)`` alone."""
+    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return pairs.join(least, "a"), least
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large star, which hangs the larger neighbours of each node under its smallest, then a small star for the others."""
+    near, _ = _hung(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    large = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    near, least = _hung(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return small.where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,13 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     that can be split where a node has very many neighbours.
     """
     current = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
-    before = None
     for _ in range(ROUNDS):
-        now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if now == before or not now["n"]:
-            break
-        before = now
-        current = materialise(_star(_star(current, True), False), "cc")
+        chained = current.join(current.select(F.col("a").alias("b")), "b", "left_semi")
+        forked = current.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi")
+        if chained.isEmpty() and forked.isEmpty():
+            break  # stars: everything points once, at what points nowhere
+        current = materialise(_round(current), "cc")
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     tops = current.select(F.col("b").alias("node")).distinct().withColumn("comp", F.col("node"))

@@ -217,6 +217,17 @@ def test_tree_finds_every_link(sets):
         assert ngram_join._differing(ngram_join._parity(arrays[a]), ngram_join._parity(arrays[b])) <= len(sets[a] ^ sets[b])
 
 
+def test_components_of_random_graphs(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100, 1000), (101, 1000), (101, 1001), (102, 1001)]
+    top = {x: x for e in edges for x in e}
+    for _ in range(80):
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+    assert got == {x: c for x, c in top.items() if any(x in e for e in edges if e[0] != e[1])}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (20, 21), (21, 20), (4, 4), *((100 + i, 101 + i) for i in range(40))]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
