@@ -1,16 +1,21 @@
 """License scans by conditional compression.
 
-Every line of a text that holds a word of the license vocabulary is a candidate block.
-It is compressed alone and once with each template as zstandard raw-content dictionary;
-templates are ranked by how much smaller the block becomes.  Templates are tried in that
-order and the first whose wording is confirmed wins: the words of the template are aligned
-with the block, and what is missing or different is listed.  Numbers, and the words that
-tell licenses apart, must all be there.
+Candidate blocks are cut around each word of the license vocabulary: all runs of words,
+also across line breaks, that start and end with a word of the template and reach around
+the mark.  A block is compressed alone and with the template as zstandard raw-content
+dictionary; blocks are ranked by how much smaller they become.  They are tried in that
+order and each whose wording is confirmed is reported unless it overlaps one before it:
+the words of the template are aligned with the block, and what is missing or different is
+listed.  Numbers, and the words that tell licenses apart, must all be there.  Templates
+that can't be confirmed around a mark, since such a word isn't near, aren't compressed.
+Whole lines are candidates too, for notices stretched by more words than a run may add.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -38,16 +43,52 @@ TEMPLATES = {
 #: Words that mark a candidate, and words that a confirmed block must share with its template.
 MARKS = re.compile(r"licen[cs]|copyright|public domain|\bcc0?\b|\bspdx\b|\bgpl\b", re.I)
 TELLING = set("apache mit gnu lesser affero general public mozilla bsd 3-clause 2-clause cc cc0 by by-sa by-nc by-nd".split())
+#: Identifiers that an SPDX line may name, and the words between them.
+IDENTIFIERS = """Apache-2.0 MIT GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0
+LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 CC0-1.0 ISC""".split()
+SPDX = [(name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS]
+JOINED = {"or", "and", "with"} | {name.lower() for name in IDENTIFIERS}
+#: Words that a run may hold beyond twice the template's.
+BEYOND = 4
 #: Share of the template's words that may be missing, and the least size reduction.
 MISSING, LEAST = 0.25, 0.15
 LEVEL = 3
 _WORD = re.compile(r"[0-9A-Za-z][0-9A-Za-z.\-]*[0-9A-Za-z]|[0-9A-Za-z]")
 
+#: White space with the comment marks of new lines in it, a space to the compressor.
+_BREAK = re.compile(r"\s+(?:[*#/;%-]+\s+)*")
+
 
 def wording(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def strict(word: str) -> bool:
+    return word in TELLING or any(c.isdigit() for c in word)
+
+
+class Template:
+    """A notice with its compressor and the words that a block can't do without."""
+
+    def __init__(self, name: str, text: str, level: int):
+        import zstandard as zstd
+
+        content = zstd.ZstdCompressionDict(text.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=level)
+        self.name, self.wanted, self.spdx = name, wording(text), text.startswith("SPDX")
+        self.compress = zstd.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_dict_id=False).compress
+        self.words, self.strict = set(self.wanted), {w for w in self.wanted if strict(w)}
+        self.least, self.reach = (1 - MISSING) * len(self.wanted), 2 * len(self.wanted) + BEYOND
+
+    def confirm(self, words: list[str], whole: bool = False) -> tuple[list[str], list[str]] | None:
+        """Missing and added words, if the wording is confirmed; of ``whole`` blocks the first and last word must be the template's."""
+        missing, added, first, last = differences(self.wanted, words)
+        if whole and (first, last) != (0, len(words)):
+            return None
+        foreign = any(w not in JOINED and "exception" not in w for w in added) if self.spdx else any(w in TELLING for w in added)
+        return None if foreign or len(missing) > MISSING * len(self.wanted) or any(map(strict, missing)) else (missing, added)
+
+
 class Scanner:
     """Compressors for all templates, made once per worker."""
 
@@ -55,49 +96,83 @@ class Scanner:
         import zstandard as zstd
 
         self.plain = zstd.ZstdCompressor(level=level, write_content_size=False).compress
-        self.templates = []
-        for name, text in sorted(templates.items()):
-            content = zstd.ZstdCompressionDict(text.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            own = zstd.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_dict_id=False).compress
-            self.templates.append((name, wording(text), own))
+        self.templates = [Template(name, text, level) for name, text in [*sorted(templates.items()), *SPDX]]
+        self.reach = max(t.reach for t in self.templates)
 
     def best(self, block: str) -> tuple[str, float, list[str], list[str]] | None:
         """Name, size reduction, missing and added words of the first template in rank whose wording is confirmed."""
         raw = block.encode("utf-8", "replace")
         alone, words = len(self.plain(raw)), wording(block)
-        ranked = sorted(((1 - len(own(raw)) / alone, name, wanted) for name, wanted, own in self.templates), key=lambda r: (-r[0], r[1]))
-        for reduction, name, wanted in ranked:
+        able = [t for t in self.templates if t.strict.issubset(words)]
+        for reduction, template in sorted(((1 - len(t.compress(raw)) / alone, t) for t in able), key=lambda r: (-r[0], r[1].name)):
             if reduction < LEAST:
                 return None
-            missing, added = differences(wanted, words)
-            strict = [w for w in missing if w in TELLING or any(c.isdigit() for c in w)]
-            foreign = [w for w in added if w in TELLING]
-            if not strict and not foreign and len(missing) <= MISSING * len(wanted):
-                return name, reduction, missing, added
+            if found := template.confirm(words):
+                return template.name, reduction, *found
         return None
 
-
-def differences(wanted: list[str], words: list[str]) -> tuple[list[str], list[str]]:
-    """Words of the template that the block lacks, and the block's words between the template's first and last."""
+    def blocks(self, text: str) -> list[tuple[int, int, str, float, list[str], list[str]]]:
+        """Start, end, name, size reduction, missing and added words of every confirmed block, by start."""
+        found = list(_WORD.finditer(text))
+        words, starts = [m.group().lower() for m in found], [m.start() for m in found]
+        runs: dict[tuple[int, int], list[Template]] = {}
+        marks = [(m.start(), m.end()) for m in MARKS.finditer(text)]
+        at = sorted({bisect_right(starts, c) - 1 for c, _ in marks} - {-1})
+        for i in at:
+            near = set(words[max(0, i - self.reach):i + self.reach + 1])
+            for t in self.templates:
+                if t.strict <= near and len(t.words & near) >= t.least - len(t.wanted) + len(t.words):
+                    own = [k for k in range(max(0, i - t.reach), min(len(words), i + t.reach + 1)) if words[k] in t.words]
+                    for x, first in enumerate(own):
+                        for y in range(x + math.ceil(t.least) - 1, len(own)):
+                            if first <= i <= own[y] and own[y] - first < t.reach and t not in (held := runs.setdefault((first, own[y]), [])):
+                                held.append(t)
+        confirmed = []
+        for (a, b), able in runs.items():
+            able = [(t, c) for t in able if t.strict.issubset(words[a:b + 1]) and (c := t.confirm(words[a:b + 1], whole=True))]
+            if able:
+                end = found[b].end()
+                end += text[end:end + 1] == "."
+                raw = _BREAK.sub(" ", text[starts[a]:end]).encode("utf-8", "replace")
+                alone = len(self.plain(raw))
+                confirmed += [(1 - len(t.compress(raw)) / alone, t.name, a, b, end, *c, t) for t, c in able]
+        out, taken = [], []
+        for reduction, name, a, b, *_, template in sorted((c for c in confirmed if c[0] >= LEAST), key=lambda c: (-c[0], c[1:4])):
+            if any(a <= y and x <= b and not (template.spdx and t.spdx and t is not template) for x, y, t in taken):
+                continue
+            same = [c for c in confirmed if c[0] >= LEAST and c[-1] is template and c[2] <= b and a <= c[3] and not any(c[2] <= y and x <= c[3] and not (template.spdx and t.spdx and t is not template) for x, y, t in taken)]
+            reduction, name, a, b, end, missing, added, _ = min(same, key=lambda c: (len(c[5]) + len(c[6]), -c[0], c[2]))
+            taken.append((a, b, template))
+            out.append((starts[a], end, name, reduction, missing, added))
+        start = 0
+        for line in text.split("\n"):
+            end = start + len(line)
+            if any(start <= c < end for c, _ in marks) and not any(x < end and start < y for x, y, *_ in out) and MARKS.search(line) and (hit := self.best(line)):
+                out.append((start, end, *hit))
+            start = end + 1
+        return sorted(out)
+
+
+def differences(wanted: list[str], words: list[str]) -> tuple[list[str], list[str], int, int]:
+    """Words of the template that the block lacks, the block's words between the template's first and last, and where these lie."""
     matcher = SequenceMatcher(None, wanted, words, autojunk=False)
     blocks = [m for m in matcher.get_matching_blocks() if m.size]
     if not blocks:
-        return wanted, []
+        return wanted, [], 0, 0
     first, last = blocks[0].b, blocks[-1].b + blocks[-1].size
     missing, added = [], []
     for tag, a, b, c, d in matcher.get_opcodes():
         if tag != "equal":
             missing += wanted[a:b]
             added += [words[i] for i in range(c, d) if first <= i < last]
-    return missing, added
+    return missing, added, first, last
 
 
 _READY: list[Scanner] = []
 
 
 def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each confirmed block: key, ``line_no`` (from 1), ``license``, ``reduction``, ``missing``, ``added``, ``exact``, ``block``.
+    """A row for each confirmed block: key, ``line_no`` of its start (from 1), ``license``, ``reduction``, ``missing``, ``added``, ``exact``, ``block``.
 
     Null and empty texts have no blocks; a block that repeats is reported each time.  An
     empty table gives no rows.  Rows don't move.
@@ -114,10 +189,9 @@ def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if not t or not MARKS.search(t):
                     continue
-                for at, line in enumerate(t.split("\n"), start=1):
-                    if MARKS.search(line) and (hit := scanner.best(line)):
-                        rows.append(i)
-                        found.append((at, hit[0], hit[1], hit[2], hit[3], not hit[2] and not hit[3], line))
+                for start, end, name, reduction, missing, added in scanner.blocks(t):
+                    rows.append(i)
+                    found.append((t.count("\n", 0, start) + 1, name, reduction, missing, added, not missing and not added, t[start:end]))
             if found:
                 types = (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.string())
                 columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), types, strict=True)]

@@ -179,6 +179,22 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_licenses_inside_lines():
+    """Every template is found after, before and between prose, wrapped anywhere, and more than once on a line."""
+    scanner, r = license_scan.Scanner(), random.Random(3)
+    for name, text in [*license_scan.TEMPLATES.items(), *license_scan.SPDX]:
+        for k in (0, 12, 60, 400):
+            before, after = (" ".join(r.choice(WORDS) for _ in range(k)) for _ in range(2))
+            for wrapped in (text, text.replace(" ", "\n"), text.replace(" ", "\n * "), text.replace("License, ", "License,\r\n")):
+                (start, _, found, reduction, missing, added), = scanner.blocks(f"{before} {wrapped} {after}")
+                assert (start, found, missing, added) == (len(before) + 1, name, [], []) and reduction >= license_scan.LEAST
+    both = "Released under the MIT License. Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    assert [b[2] for b in scanner.blocks(both)] == ["MIT", "Apache-2.0", "MIT"]
+    assert [b[2] for b in scanner.blocks("// SPDX-License-Identifier: MIT OR Apache-2.0")] == ["MIT", "Apache-2.0"]
+    assert [b[2] for b in scanner.blocks("Released under the MIT License. " * 3)] == ["MIT"] * 3
+    assert scanner.blocks("SPDX-License-Identifier: Foo-1.0, not the MIT License") == []
+
+
 # 4
 
 
