@@ -301,6 +301,52 @@ def test_rare_words_meet_their_counts(docs):
     assert got[0] == got[1]
 
 
+def test_every_training_word_has_a_class(docs):
+    """Words beyond the list get the class that they get on it, and bigrams and scores count them in it."""
+    rows = docs.select("doc_id", "text").where("doc_id is not null")
+    counts = brown_lm.materialise(brown_lm.count_words(rows), "t")
+    texts = [["", *(w.decode() for w in brown_lm.tokens(t)), ""] for i, t, _ in ROWS if i is not None]
+    tokens, got = Counter(w for t in texts for w in t[1:]), []
+    for listed in (40, brown_lm.LISTED):
+        model, cut = brown_lm.train(rows, counts, listed=listed, clustered=8, classes=6)
+        assert (listed < len(tokens)) == (len(model.words) < len(tokens) - 1)
+        of = {r["word"]: r["class"] for r in model.classed.collect()}
+        assert {r["word"]: r["n"] for r in model.classed.collect()} == {w: n for w, n in tokens.items() if w} and set(of.values()) <= set(range(6))
+        of[""], moves, mass = 7, np.full((8, 8), brown_lm.ADDED), Counter()
+        for t in texts:
+            for a, b in itertools.pairwise(t):
+                moves[of[a], of[b]] += 1
+        assert np.allclose(model.transitions, np.log10(moves / moves.sum(1, keepdims=True)))
+        for w, n in tokens.items():
+            mass[of[w]] += n + 1
+        steps = model.transitions
+        want = Counter(round(sum(steps[of[a], of[b]] + math.log10((tokens[b] + 1) / (mass[of[b]] + 1)) for a, b in itertools.pairwise(t)), 5) for t in texts)
+        assert Counter(round(r["score"], 5) for r in brown_lm.score_texts(rows, model, counts, cut).collect()) == want
+        got.append(of)
+    assert got[0] == got[1]
+
+
+def test_a_word_joins_the_class_of_most_likelihood():
+    def likelihood(c):
+        f = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+        return f(c) - f(c.sum(1)) - f(c.sum(0))
+
+    r = np.random.default_rng(6)
+    base = r.integers(0, 30, (5, 5)).astype(float)
+    base[3] = base[:, 3] = 0
+    left, right = r.integers(0, 4, (40, 5)).astype(float), r.integers(0, 4, (40, 5)).astype(float)
+    left[:, 3] = right[:, 3] = 0
+    got = brown_lm.best_classes(base, left, right, np.full(40, 3))
+    for q, p, own in zip(left, right, got, strict=True):
+        reached = []
+        for b in range(3):
+            c = base.copy()
+            c[b] += p
+            c[:, b] += q
+            reached.append(likelihood(c))
+        assert reached[own] >= max(reached) - 1e-6
+
+
 def test_exchange_ends_where_no_move_helps():
     def likelihood(pairs, of, k):
         one = np.eye(k)[of]
