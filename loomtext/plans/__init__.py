@@ -2,4 +2,4 @@
 
 from . import catalogue
 
-QUERIES, ORACLES = catalogue.QUERIES, catalogue.ORACLES
+QUERIES, ORACLES, UNSTATED = catalogue.QUERIES, catalogue.ORACLES, catalogue.UNSTATED
