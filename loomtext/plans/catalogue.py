@@ -415,6 +415,17 @@ def autolinks(spark, sf):
     return nodes.where("type = 'autolink'").select("doc_id", "kind", "value")
 
 
+@query("""
+SELECT page_id::BIGINT AS doc_id, form, 'url' AS kind, CASE WHEN form = 'angle' THEN url ELSE regexp_replace(regexp_replace(url, '[?!.,:*_~]+$', ''), '&[0-9A-Za-z]+;$', '') END AS value
+FROM pages, (VALUES ('angle'), ('bare')) f(form)""")
+def all_autolinks(spark, sf):
+    """Every page's url in angle brackets and bare before a full stop; the bare form ends before trailing punctuation."""
+    pages = table(spark, sf, "pages")
+    forms = [D.node_table(each(pages, "page_id", text)).where("type = 'autolink'").select("doc_id", F.lit(form).alias("form"), "kind", "value")
+             for form, text in (("angle", "concat('At <', url, '>\n')"), ("bare", "concat('At ', url, '.\n')"))]
+    return forms[0].unionByName(forms[1])
+
+
 @query("""SELECT page_id::BIGINT AS doc_id, 'a<b & "c" © ' || chr(8364) || ' &nosuch; ' || page_id AS value FROM pages""")
 def entities(spark, sf):
     nodes = D.node_table(each(table(spark, sf, "pages"), "page_id", "concat('a&lt;b &amp; &quot;c&quot; &copy; &#8364; &nosuch; ', page_id, '\n')"))

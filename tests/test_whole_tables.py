@@ -22,3 +22,12 @@ def test_canonical_groups(spark, tmp_path):
             groups.append([i])
     got = Counter((r["first_doc"], r["n_docs"]) for r in catalogue.canonical_groups(spark, str(tmp_path)).collect())
     assert got == Counter((g[0], len(g)) for g in groups) and sum(len(g) > 1 for g in groups) >= 5
+
+
+def test_all_autolinks(spark, tmp_path):
+    urls = ["http://a.example/", "https://a.example/x?utm_source=feed", "http://a.example/_b_/~c/", "http://a.example/*d*e", "http://a.example/f?!", "http://a.example/g_"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r["doc_id"], r["form"]): r["value"] for r in catalogue.all_autolinks(spark, str(tmp_path)).collect()}
+    bare = [*urls[:4], "http://a.example/f", "http://a.example/g"]
+    assert {i: got[i, "bare"] for i in range(6)} == dict(enumerate(bare))
+    assert {i: got[i, "angle"] for i in range(6)} == dict(enumerate(urls))
