@@ -177,6 +177,19 @@ def paragraph_islands(spark, sf):
     return rows.join(lines, ["doc_id", "first_line"], "left_semi").select("doc_id", "island", "paragraph")
 
 
+@query("""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+b AS (SELECT *, regexp_full_match(l, '[ \\t]*') AS blank FROM l),
+o AS (SELECT *, NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY n), true) AS opens FROM b),
+r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY n) AS island FROM o)
+SELECT doc_id, island::BIGINT AS island, min(n)::BIGINT AS first_line, count(*) AS n_lines, string_agg(trim(l), chr(10) ORDER BY n) AS paragraph
+FROM r WHERE NOT blank GROUP BY doc_id, island""")
+def paragraph_runs(spark, sf):
+    """The raw lines of all documents, joined in runs between blank lines."""
+    return L.paragraphs(L.quick_lines(table(spark, sf, "documents")))
+
+
 @query("""
 SELECT n_nationkey::BIGINT AS doc_id, CAST(CASE WHEN n_nationkey % 6 >= 4 THEN 1 ELSE 0 END AS BIGINT) AS n FROM nation""")
 def indent_advisory(spark, sf):

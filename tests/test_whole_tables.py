@@ -31,3 +31,9 @@ def test_all_autolinks(spark, tmp_path):
     bare = [*urls[:4], "http://a.example/f", "http://a.example/g"]
     assert {i: got[i, "bare"] for i in range(6)} == dict(enumerate(bare))
     assert {i: got[i, "angle"] for i in range(6)} == dict(enumerate(urls))
+
+
+def test_paragraph_runs(spark, tmp_path):
+    spark.createDataFrame([(1, "a\n  b\n\n \t\nc\n"), (2, "\n\nd"), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, catalogue.paragraph_runs(spark, str(tmp_path)).collect()))
+    assert got == [(1, 1, 1, 2, "a\nb"), (1, 2, 5, 1, "c"), (2, 1, 3, 1, "d")]
