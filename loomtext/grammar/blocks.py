@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 from .attributes import context_fault, read_opener
@@ -31,7 +31,8 @@ NOT_TYPE = re.compile(rf"[{WHITE}\x00-\x1f\x7f-\x9f<>\[\]{{}}|\\`]")
 INTRODUCER = re.compile(r"#{1,6}(?: |\Z)|>|[-+*](?: |\Z)|!\[|<|[0-9]+[.)](?: |\Z)|`{3}|~{3}|:{3}|_{3,}\Z|(?=(?:[ \t]*[-*]){3})[-* \t]+\Z")
 WITH_ID = frozenset(("paragraph", "codeBlock", "mathBlock", "imageBlock", "videoBlock", "audioBlock", "embedBlock", "downloadBlock", "quoteRegion", "list", "table", "container"))
 CLOSED = ("list-item", "quote", "grid-cell")
-MOST_SLOTS = 100_000
+#: Slots of a grid, unless a caller allows other; no caller may allow more than the second number.
+MOST_SLOTS, HARD_SLOTS = 100_000, 1_000_000
 
 
 def trim_end(text: str) -> str:
@@ -182,8 +183,8 @@ class Literal:
 class BlockReader:
     """Reads the blocks of a text; ``project`` maps its offsets to those of the document."""
 
-    def __init__(self, text: str, project: Callable[[int], int] | None = None, note=None):
-        self.text, self.note, self.outer = text, note, project is None
+    def __init__(self, text: str, project: Callable[[int], int] | None = None, note=None, most_slots: int = MOST_SLOTS):
+        self.text, self.note, self.outer, self.most_slots = text, note, project is None, most_slots
         self.project = project or (lambda at: at)
         self.rows = text.split("\n")
         self.starts = [0]
@@ -192,6 +193,8 @@ class BlockReader:
         if self.rows[-1] == "":
             self.rows.pop()
         self.at = 0
+        self.scans: dict[str, tuple[int, list[tuple[int, int]], bytearray, dict[int, list[int]]]] = {}
+        self.last_pair: int | None = None
 
     # lines
 
@@ -419,7 +422,7 @@ class BlockReader:
             k, a = pieces[i]
             return self.project(min(a + at - begins[i], self.begin(k + 1)))
 
-        return BlockReader(text, project, self.note), project
+        return BlockReader(text, project, self.note, self.most_slots), project
 
     def _quote(self, line: str, stop) -> Node | None:
         if not line.startswith(">"):
@@ -681,12 +684,24 @@ class BlockReader:
         return {"container_type": unicodedata.normalize("NFC", name), "container_title": parts[len(name):].strip(_BLANKS) or None}
 
     def _closer(self, mark: str, size: int) -> int | None:
-        """The line that closes a container, code fences and comments skipped."""
-        literal, closing = Literal(), re.compile(rf"{mark}{{{size},}}[ \t]*\Z")
-        for k in range(self.at, len(self.rows)):
-            if not literal.step(self.rows[k]) and closing.match(self.rows[k]):
-                return k
-        return None
+        """The line that closes a container, code fences and comments skipped.
+
+        One scan finds the closing lines of all openers below its start; it holds for a later
+        line too, unless that lies in what the scan took for a literal region.
+        """
+        scan = self.scans.get(mark)
+        if scan is None or self.at < scan[0] or self.at - scan[0] < len(scan[2]) and scan[2][self.at - scan[0]]:
+            literal, closing, found, inside = Literal(), re.compile(rf"{mark}{{3,}}[ \t]*\Z"), [], bytearray()
+            for k in range(self.at, len(self.rows)):
+                inside.append(literal.inside is not None)
+                if not literal.step(self.rows[k]) and closing.match(self.rows[k]):
+                    found.append((k, self.rows[k].count(mark)))
+            scan = self.scans[mark] = (self.at, found, inside, {})
+        if size not in scan[3]:
+            scan[3][size] = [k for k, n in scan[1] if n >= size]
+        lines = scan[3][size]
+        i = bisect_left(lines, self.at)
+        return lines[i] if i < len(lines) else None
 
     def _lined(self, context: str) -> Node | None:
         line, following = self.line(), self.line(1)
@@ -715,14 +730,16 @@ class BlockReader:
 
     def _lined_inside(self) -> bool:
         """Two closing fences in a row after this line, with nothing between: a lined container in a lined one."""
-        fences = [bool(LINED.match(r)) for r in self.rows[self.at + 2:] if not is_blank(r)]
-        before = False
-        for i, fence in enumerate(fences):
-            closes = fence and not (i + 1 < len(fences) and not fences[i + 1])
-            if closes and before:
-                return True
-            before = closes
-        return False
+        if self.last_pair is None:
+            self.last_pair = -1
+            fences = [(k, bool(LINED.match(r))) for k, r in enumerate(self.rows) if not is_blank(r)]
+            before = None
+            for i, (k, fence) in enumerate(fences):
+                closes = fence and not (i + 1 < len(fences) and not fences[i + 1][1])
+                if closes and before is not None:
+                    self.last_pair = before
+                before = k if closes else None
+        return self.last_pair >= self.at + 2
 
     def _fenced(self, context: str) -> Node | None:
         line = self.line()

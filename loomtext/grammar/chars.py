@@ -17,6 +17,7 @@ ENTITY = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9A-Fa-f]{1,6})|([0-9A-Za-z]+));
 IDENTIFIER = re.compile(r"[A-Za-z0-9_-]+")
 REFERENCE = re.compile(r"\[\^([A-Za-z0-9_-]+)\]")
 URL = re.compile(f"https?://[^<>{WHITE}]+")
+_UNBROKEN = re.compile(f"[^<>{WHITE}]*")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z0-9-]{2,}")
 
 
@@ -85,8 +86,7 @@ def is_url(text: str) -> bool:
 
 def bare_url_end(text: str, at: int, end: int) -> int:
     """Where the bare URL at a place ends once trailing marks are left out; ``at`` if nothing is left."""
-    m = re.compile(f"[^<>{WHITE}]*").match(text, at, end)
-    stop = m.end()
+    stop = _UNBROKEN.match(text, at, end).end()
     while stop > at and text[stop - 1] in "?!.,:*_~":
         stop -= 1
     while stop > at and text[stop - 1] == ")" and text.count(")", at, stop) > text.count("(", at, stop):

@@ -7,7 +7,7 @@ import sys
 from bisect import bisect_left
 from dataclasses import dataclass, field
 
-from .blocks import BlockReader, is_blank, suffix_of
+from .blocks import HARD_SLOTS, MOST_SLOTS, BlockReader, is_blank, suffix_of
 from .chars import is_identifier
 from .tree import Exhausted, Fault, Finding, Node
 
@@ -69,11 +69,13 @@ class Parsed:
     transport: Transport | None = None
 
 
-def read_document(raw: str | None, max_bytes: int | None = None, max_frames: int = MOST_FRAMES, max_nodes: int | None = None) -> Parsed:
+def read_document(raw: str | None, max_bytes: int | None = None, max_frames: int = MOST_FRAMES, max_nodes: int | None = None, max_slots: int = MOST_SLOTS) -> Parsed:
     """Reads a document to the end; every fault becomes an error block, and the first one is the verdict.
 
     Null counts as the empty text.  A used-up budget gives the status ``resource``.
     """
+    if not 0 < max_slots <= HARD_SLOTS:
+        raise ValueError(f"max_slots is at least 1 and at most {HARD_SLOTS}")
     raw = raw or ""
     found = transport_of(raw)
 
@@ -91,19 +93,19 @@ def read_document(raw: str | None, max_bytes: int | None = None, max_frames: int
         tree = Node("recoveryDocument", {}, {"children": [whole]}, (0, len(found.text)))
         return Parsed("invalid", tree, [Finding("syntax", why, at, at + 1)], found)
     try:
-        return _read(found, max_nodes)
+        return _read(found, max_nodes, max_slots)
     except Exhausted as e:
         return exhausted(str(e))
     except RecursionError:
         return exhausted("structural frame budget exceeded")
 
 
-def _read(found: Transport, max_nodes: int | None) -> Parsed:
+def _read(found: Transport, max_nodes: int | None, max_slots: int) -> Parsed:
     text, findings = found.text, []
-    reader = BlockReader(text, note=lambda why, a, b: findings.append(Finding("advisory", why, a, b)))
+    reader = BlockReader(text, note=lambda why, a, b: findings.append(Finding("advisory", why, a, b)), most_slots=max_slots)
     kids: list[Node] = []
     notes: list[Node] = []
-    failed, after_blank, count = False, True, 0
+    failed, after_blank, count, counted = False, True, 0, (0, 0)
 
     def fail(fault: Fault, begin: int) -> Node:
         nonlocal failed
@@ -139,7 +141,9 @@ def _read(found: Transport, max_nodes: int | None) -> Parsed:
             kids.append(fail(f, min(reader.begin(first), f.start)))
         after_blank = False
         if max_nodes is not None:
-            count = sum(1 for k in (*kids, *notes) for _ in k.walk())
+            new = kids[counted[0]:] + notes[counted[1]:]
+            counted = (len(kids), len(notes))
+            count += sum(1 for k in new for _ in k.walk())
             if count > max_nodes:
                 raise Exhausted("node budget exceeded")
     ordered, doubled = _relations(kids, notes, findings)

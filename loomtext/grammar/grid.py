@@ -96,7 +96,7 @@ def read_grid(reader: BlockReader, first: int, last: int) -> list[Node] | None:
         raise bad("empty grid cell")
     if not header and width == 1 and len(rows) == 1:
         raise bad("headerless 1x1 grid")
-    slots_guard(width, len(rows))
+    slots_guard(width, len(rows), reader.most_slots)
     made: list[tuple[Node, list[int]]] = []
     parts = {}
     for name, part in (("header", rows[:header]), ("rows", rows[header:])):

@@ -8,11 +8,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from .attributes import context_fault, read_destination, read_opener
-from .chars import PUNCTUATION, REFERENCE, bare_url_end, char, entity, is_email, is_url, kind_of, is_white
+from .chars import PUNCTUATION, REFERENCE, WHITE, bare_url_end, char, entity, is_email, is_url, kind_of, is_white
 from .tree import Fault, Node
 
 #: Where something other than plain text may start; bare URLs are found apart, as their letter is too common.
-_SIGNIFICANT = re.compile(r"[\\`$!\[<&*_~+\-=^]")
+#: One set comes first, as a search for it is fast; some of it counts only before the right character.
+_SIGNIFICANT = re.compile(r"[\\`\[<&*_~^$!\-+=](?:(?<=[\\`\[<&*_~^])|(?<=-)(?=-)|(?<==)(?==)|(?<=\+)(?=\+)|(?<=!)(?=\[)|(?<=\$)(?=`))")
+#: What lies before the next ``>`` that no backslash hides.
+_BEFORE_ANGLE = re.compile(r"(?:[^>\\]++|\\.)*+", re.S)
+_WHITE = re.compile(f"[{WHITE}]")
 _DELIMITERS = {"**": "strong", "__": "strong", "~~": "deletion", "--": "obsolete", "++": "insert", "==": "mark", "*": "em", "_": "em"}
 _ONE_LINE = ("obsolete", "insert", "mark")
 _ESCAPED = re.compile(rf"\\([{PUNCTUATION}])")
@@ -157,12 +161,14 @@ class InlineReader:
     def __init__(self, text: str, start: int, end: int, scope: Scope):
         self.text, self.start, self.end, self.scope = text, start, end, scope
         self.stack = [_Open("", "", start)]
+        self.last_bracket = text.rfind("]", start, end)
+        self.angle = (start, start - 1)
 
     def read(self) -> list[Node]:
         at, text, end = self.start, self.text, self.end
         breaks = self.scope.breaks
-        places = sorted(b for b in breaks if b < end)
-        following, url = bisect_left(places, at), text.find("http", at, end)
+        places = self.places = [b for b in sorted(breaks) if b < end]
+        following, url, mark = bisect_left(places, at), text.find("http", at, end), -1
         while at < end:
             if breaks and (gap := breaks.get(at)) is not None:
                 while self.stack[-1].kind in _ONE_LINE:
@@ -173,8 +179,10 @@ class InlineReader:
             if len(self.stack) > 1 and (past := self._close(at)) is not None:
                 at = past
                 continue
-            m = _SIGNIFICANT.search(text, at, end)
-            stop = m.start() if m else end
+            if mark < at:  # else what was found from before is still ahead
+                m = _SIGNIFICANT.search(text, at, end)
+                mark = m.start() if m else end
+            stop = mark
             if 0 <= url < at:
                 url = text.find("http", at, end)
             if 0 <= url < stop:
@@ -253,13 +261,13 @@ class InlineReader:
             close = text.find("`$", at + 2, end)
             if close < 0:
                 raise self._fault("unclosed inline math", at)
-            if any(at + 2 <= b < close for b in scope.breaks):
+            if bisect_left(self.places, at + 2) < bisect_left(self.places, close):
                 raise self._fault("inline math cannot contain a soft break", at)
             if close == at + 2:
                 raise self._fault("empty inline math", at)
             self._add(Node("inlineMath", {"value": self._pipes(text[at + 2:close])}, span=(at, close + 2)))
             return close + 2
-        if c == "[" or text.startswith("![", at, end):
+        if at < self.last_bracket and (c == "[" or text.startswith("![", at, end)):
             if found := read_link(text, at, end, scope):
                 self._add(found)
                 return found.span[1]
@@ -311,7 +319,7 @@ class InlineReader:
             if m.end() - m.start() != size:
                 continue
             value, here = "", at + size
-            for place in sorted(b for b in self.scope.breaks if here <= b < m.start()):
+            for place in self.places[bisect_left(self.places, here):bisect_left(self.places, m.start())]:
                 value, here = f"{value}{text[here:place]} ", self.scope.breaks[place][0]
             value += text[here:m.start()]
             if value.startswith(" ") and value.lstrip(" ").startswith("`"):
@@ -342,12 +350,12 @@ class InlineReader:
         if (node := self._metadata(at)) is not None:
             self._add(node)
             return node.span[1]
-        close = at + 1
-        while close < end and text[close] != ">":
-            close += 2 if text[close] == "\\" else 1
-        if close >= end:
+        if not self.angle[0] <= at < self.angle[1]:  # else the one that was found from before is the next
+            self.angle = (at, _BEFORE_ANGLE.match(text, at + 1, end).end())
+        close = self.angle[1]
+        if close >= end or text[close] != ">":
             return None
-        value = text[at + 1:close]
+        value = "" if _WHITE.search(text, at + 1, close) else text[at + 1:close]
         kind = "url" if is_url(value) else "email" if is_email(value) else None
         if kind:
             if scope.label:

@@ -58,10 +58,17 @@ class Finding:
         return "warning" if self.category == "advisory" else "error"
 
 
-def same(a: Node, b: Node) -> bool:
-    """Semantic equality: types, fields and children; spans don't count."""
-    stack = [(a, b)]
+#: Budgets of a comparison: nodes in all, and pairs that wait.
+MOST_COMPARED, MOST_WAITING = 20_000_000, 200_000
+
+
+def same(a: Node, b: Node, most_nodes: int = MOST_COMPARED, most_waiting: int = MOST_WAITING) -> bool:
+    """Semantic equality: types, fields and children; spans don't count.  Exhausted beyond the budgets."""
+    stack, compared = [(a, b)], 0
     while stack:
+        compared += 1
+        if compared > most_nodes or len(stack) > most_waiting:
+            raise Exhausted("comparison budget exceeded")
         x, y = stack.pop()
         if x.type != y.type or x.data != y.data:
             return False

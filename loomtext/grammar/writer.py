@@ -7,7 +7,7 @@ import unicodedata
 
 from .attributes import DATA_NAME, ascii_lower, context_fault
 from .blocks import COLONS, COMMENT, FENCE, HEADING, INTRODUCER, NOT_TYPE, RowScan, split_id, trim_end
-from .chars import CONTROL, PUNCTUATION, WHITE, char, entity, is_identifier, is_white, kind_of
+from .chars import CONTROL, PUNCTUATION, REFERENCE, WHITE, char, entity, is_identifier, is_white, kind_of
 from .document import footnote_order
 from .inline import atom_end, delimiter_at
 from .tree import Node, Unwritable
@@ -16,7 +16,10 @@ _MARKS = {"deletion": "~~", "obsolete": "--", "insert": "++", "mark": "=="}
 #: What a sibling's text begins or ends with, so that text beside it must not run into it.
 _EDGES = {"em": "*", "strong": "*", "deletion": "~", "sub": "~", "obsolete": "-", "insert": "+", "mark": "=", "sup": "^", "inlineCode": "$", "inlineMath": "$", "link": "!", "inlineImage": "!"}
 _ALIGN = {"default": "---", "left": ":---", "right": "---:", "center": ":---:"}
-_TEXT = re.compile(r"[\\`&$!\[\]<^~*_+\-=h]")
+_TEXT = re.compile(r"[\\`&\[\]<^~*_$!\-+=](?:(?<=[\\`&\[\]<^~*_])|(?<=-)(?=-)|(?<==)(?==)|(?<=\+)(?=\+)|(?<=!)(?=\[)|(?<=\$)(?=`))")
+_SCHEME = re.compile("https?://")
+_HASHES = re.compile(r"#{1,6}(?:[ \t]|\Z)")
+_NUMBER = re.compile(r"[0-9]+(?=[.)])")
 _LITERAL_SLASH = re.compile(rf"[{PUNCTUATION}]")
 
 
@@ -117,12 +120,12 @@ def _separator(line: str) -> bool:
 def _guard_line(raw: str, first: bool, following: str, before: str, cell: bool) -> str:
     """A paragraph line escaped where it would start something else."""
     line = trim_end(raw)
-    if not line or line[0] == "\\":
+    if not line or line[0] == "\\" or line[0].isalpha():
         return line
     head = line[0]
     own = (
         cell and line in ("^", "<", "::", "==", "--")
-        or re.match(r"#{1,6}(?:[ \t]|\Z)", line)
+        or _HASHES.match(line)
         or head in "-*" and line.count(head) >= 3 and not line.strip(head + " \t")
         or head == "-" and not line.startswith("--")
         or head == ":"
@@ -139,7 +142,7 @@ def _guard_line(raw: str, first: bool, following: str, before: str, cell: bool)
     )
     if own:
         return "\\" + line
-    if (m := re.match(r"[0-9]+(?=[.)])", line)) and not line[m.end() + 1:m.end() + 2].isdigit():
+    if (m := _NUMBER.match(line)) and not line[m.end() + 1:m.end() + 2].isdigit():
         return f"{m[0]}\\{line[m.end():]}"
     return line
 
@@ -449,43 +452,46 @@ def _literal(d: str) -> str:
 
 def escape_text(value: str, slash_literal: bool, label: bool, lead: str = "", tail: str = "") -> str:
     """Text with a backslash at the leftmost place where it would be read as something else."""
-    out, i, last = "", 0, len(value) - 1
+    out, i, last, url = [], 0, len(value) - 1, value.find("http")
     while i <= last:
+        if 0 < i < last:
+            if 0 <= url < i:
+                url = value.find("http", i)
+            m = _TEXT.search(value, i)
+            stop = min(m.start(), last) if m else last
+            if 0 <= url < stop:
+                stop = url
+            if stop > i:
+                out.append(value[i:stop])
+                i = stop
+                continue
         c, following = value[i], value[i + 1:i + 2]
-        if 0 < i < last and not _TEXT.match(c):
-            m = _TEXT.search(value, i, last)
-            stop = m.start() if m else last
-            out, i = out + value[i:stop], stop
-            continue
-        step = 1
+        step, put = 1, c
         if i == 0 and c in lead or i == last and c in tail or label and c in "[]" or c == "`":
-            out += "\\" + c
+            put = "\\" + c
         elif c == "\\":
             escapes = _LITERAL_SLASH.match(following) if following else not slash_literal
-            out += "\\\\" if escapes else "\\"
+            put = "\\\\" if escapes else "\\"
         elif c == "&" and entity(value, i, len(value)) or c == "$" and following == "`":
-            out += "\\" + c
+            put = "\\" + c
         elif c == "!" and following == "[" and _link_like(value, i + 1):
-            out, step = out + "!\\[", 2
-        elif c == "[" and (_link_like(value, i) or re.match(r"\[\^[A-Za-z0-9_-]+\]", value[i:])) or c == "<" and _angle_like(value, i):
-            out += "\\" + c
-        elif c == "h" and (m := re.match("https?://", value[i:])) and kind_of(value[i - 1:i] if i else "") != "W":
-            out, step = out + m[0][:-3] + "\\://", m.end()
+            put, step = "!\\[", 2
+        elif c == "[" and (_link_like(value, i) or REFERENCE.match(value, i)) or c == "<" and _angle_like(value, i):
+            put = "\\" + c
+        elif c == "h" and (m := _SCHEME.match(value, i)) and kind_of(value[i - 1:i] if i else "") != "W":
+            put, step = m[0][:-3] + "\\://", m.end() - i
         elif c in "^~" and _atom_like(value, i, c):
-            out += "\\" + c
+            put = "\\" + c
         elif d := delimiter_at(value, i, len(value)):
             before, after = kind_of(value[i - 1:i] if i else ""), kind_of(value[i + len(d):i + len(d) + 1])
             if after != "S" and before != "W":
-                out, step = out + _literal(d), len(d)
+                put, step = _literal(d), len(d)
             elif len(d) > 1:
                 edge = i == 0 and c in lead or i + len(d) - 1 == last and c in tail
-                out, step = out + ("\\" + c) * len(d) if edge else out + d, len(d)
-            else:
-                out += c
-        else:
-            out += c
+                put, step = ("\\" + c) * len(d) if edge else d, len(d)
+        out.append(put)
         i += step
-    return out
+    return "".join(out)
 
 
 def _link_like(value: str, at: int) -> bool:
