@@ -29,6 +29,22 @@ def _struct(fields: dict[str, str]) -> pa.DataType:
     return pa.struct([(k, _ARROW[v]) for k, v in fields.items()])
 
 
+#: Inputs up to this many bytes for each core are dealt out anew before a map that costs far more than its bytes.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores, where the plan's size says that a scan or shuffle would leave most cores idle.
+
+    What is moved is bounded by ``SPREAD_BYTES`` a core; larger inputs have enough partitions and stay.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(3 * cores) if size <= SPREAD_BYTES * cores else df
+
+
 def per_document(df: DataFrame, read: Callable[[object, str | None], list[tuple]], fields: dict[str, str], types: list[pa.DataType], key: str = "doc_id", text: str = "text", rows: int = 200) -> DataFrame:
     """Maps every (key, text) to rows of ``fields``; small output batches keep memory bounded."""
     kind = df.schema[key].dataType.simpleString()
@@ -47,7 +63,7 @@ def per_document(df: DataFrame, read: Callable[[object, str | None], list[tuple]
                     columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), *columns], names=[key, *fields])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, {_ddl(fields)}")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, {_ddl(fields)}")
 
 
 def _findings(parsed) -> list[dict]:
@@ -164,13 +180,18 @@ def adopt_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return per_document(df, read, {"status": "string", "added_ids": "bigint", "adopted": "string"}, [pa.string(), pa.int64(), pa.string()], key, text)
 
 
-def run_command(df: DataFrame, command: str, strict: bool = False, check: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def run_command(df: DataFrame, command: str, strict: bool = False, check: bool = False, stdout: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The command line as a batch job: ``check``, ``format`` or ``adopt`` with exit code, output and new content.
 
     0 is success, 1 a document that fails; findings read ``line:column: severity[category]: message``.
+    ``check`` of format or adopt only says what would change; ``stdout`` says that the new
+    content isn't written back, which is up to the caller.  The flags exclude each other as
+    on the command line.
     """
     if command not in ("check", "format", "adopt"):
         raise ValueError(f"no such command: {command}")
+    if check and stdout or command == "check" and (check or stdout) or command == "adopt" and strict:
+        raise ValueError(f"{command} doesn't take these flags together")
 
     def read(own, body):
         from ..grammar.api import _written, adopt, check_canonical
@@ -179,10 +200,10 @@ def run_command(df: DataFrame, command: str, strict: bool = False, check: bool =
         body = body or ""
         parsed = read_document(body)
         found, content, code = parsed.findings, None, 0 if parsed.status == "ok" else 1
-        if code == 0 and command == "check" and strict:
-            verdict, _, found = check_canonical(body)
-            code = int(verdict != "canonical")
-        elif code == 0 and command != "check":
+        if code == 0 and strict:
+            verdict, _, why = check_canonical(body)
+            found, code = (found, 0) if verdict == "canonical" else (why, 1)
+        if code == 0 and command != "check":
             if command == "adopt":
                 adopt(parsed.tree, own)
             content = _written(parsed)

@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The categories that a finding may have.
-CATEGORIES = ("syntax", "semantic", "advisory", "resource", "noncanonical")
+#: The sections of the compatibility corpus and the constructs that each is about.
+SECTIONS = {
+    "Tabs": ("tabs",), "Backslash escapes": ("escapes",), "Precedence": ("precedence",), "Thematic breaks": ("rules",), "ATX headings": ("headings",), "Setext headings": ("setext",),
+    "Indented code blocks": ("indented code",), "Fenced code blocks": ("fences",), "HTML blocks": ("html",), "Block quotes": ("quotes", "quote depth"), "List items": ("lists", "marker indentation"),
+    "Lists": ("lists", "marker indentation"), "Link reference definitions": ("definitions", "reference links"), "Paragraphs": ("paragraphs",), "Blank lines": ("paragraphs",), "Inlines": ("code spans", "unclosed marks"),
+    "Code spans": ("code spans",), "Emphasis and strong emphasis": ("emphasis", "same-kind nesting"), "Links": ("links", "link context", "unclosed marks"), "Images": ("links", "link context", "unclosed marks"),
+    "Autolinks": ("autolinks",), "Raw HTML": ("html",), "Hard line breaks": ("breaks", "multiline spans"), "Soft line breaks": ("breaks",), "Entity and numeric character references": ("entities",),
+    "Textual content": ("text",), "Tables (extension)": ("tables",), "Strikethrough (extension)": ("deletions",), "Task list items (extension)": ("tasks",), "Autolinks (extension)": ("bare urls",),
+}
+#: Node kinds of the corpus's own reading that outweigh the section, the first that is there, and their constructs.
+OUTER = (("html", ("html",)), ("definition", ("definitions", "reference links")), ("linkReference", ("definitions", "reference links")), ("imageReference", ("definitions", "reference links")), ("table", ("tables",)), ("blockquote", ("quotes",)), ("list", ("lists", "marker indentation")))
 
 
 def repeated_ids(cases: DataFrame) -> DataFrame:
@@ -39,6 +48,21 @@ def promoted(candidates: DataFrame, outcomes: DataFrame, wanted: str = "canonica
     return candidates.join(outcomes.where(F.col("outcome") == wanted).select("id"), "id", "left_semi")
 
 
+def routed(cases: DataFrame) -> DataFrame:
+    """Cases ``(id, section, kinds)`` as one row for each construct that they are about.
+
+    ``kinds`` are the node kinds that the corpus's own reader finds; some of them outweigh
+    the section.  A section that is not listed gives no row.
+    """
+    literal = lambda names: F.array(*map(F.lit, names))
+    of = F.create_map(*[x for k, v in SECTIONS.items() for x in (F.lit(k), literal(v))])[F.col("section")]
+    outer = F.lit(None)
+    for kind, names in reversed(OUTER):
+        outer = F.when(F.array_contains("kinds", kind), literal(names)).otherwise(outer)
+    found = F.when(F.col("section").isin("HTML blocks", "Raw HTML"), of).otherwise(F.coalesce(outer, of))
+    return cases.select("id", "section", F.explode(found).alias("construct"))
+
+
 def classified(cases: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Cases ``(id, section, skeleton, expected, stable)`` against a rule catalogue ``(section, behaviour)``.
 

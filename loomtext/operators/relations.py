@@ -7,10 +7,12 @@ what is left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..store import stored
+
 SCOPES = ("listItem", "quoteRegion", "gridCell")
 
 
@@ -45,16 +47,24 @@ def duplicate_ids(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     return nodes.where("block_id is not null").groupBy(key, "block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def below(nodes: DataFrame, tops: Column, key: str = "doc_id") -> DataFrame:
+    """Adds ``inside``: whether a node lies below one where ``tops`` holds.
+
+    Nodes are numbered in document order and a subtree ends at ``subtree_end``, so a node is
+    inside where the largest end of the tops before it reaches it: one window, no pairs.
+    """
+    before = Window.partitionBy(key).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    return nodes.withColumn("inside", F.coalesce(F.max(F.when(tops, F.col("subtree_end"))).over(before) >= F.col("node_id"), F.lit(False)))
+
+
 def scope_violations(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Ids inside list items, quotes or grid cells: a semi join on nested-set intervals."""
-    scopes = nodes.where(F.col("type").isin(*SCOPES)).select(F.col(key).alias("_k"), F.col("node_id").alias("_a"), F.col("subtree_end").alias("_b"))
-    own = nodes.where("block_id is not null")
-    return own.join(scopes, (F.col(key) == F.col("_k")) & (F.col("node_id") > F.col("_a")) & (F.col("node_id") <= F.col("_b")), "left_semi")
+    """Ids inside list items, quotes or grid cells."""
+    return below(nodes, F.col("type").isin(*SCOPES), key).where("inside and block_id is not null").drop("inside")
 
 
 def dangling_anchors(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Links to ``#id`` where no block has the id."""
-    anchors = nodes.where("type = 'link' and dest rlike '^#[A-Za-z0-9_-]+$'").select(key, F.expr("substring(dest, 2)").alias("block_id"))
+    anchors = nodes.where("type = 'link' and dest rlike '^#[A-Za-z0-9_-]+\\\\z'").select(key, F.expr("substring(dest, 2)").alias("block_id"))
     return anchors.join(nodes.where("block_id is not null").select(key, "block_id"), [key, "block_id"], "left_anti").distinct()
 
 
@@ -80,10 +90,8 @@ def histogram_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def descendant_types(nodes: DataFrame, ancestor: str, key: str = "doc_id") -> DataFrame:
-    """Node types found below nodes of one type, with counts: an interval join."""
-    tops = nodes.where(F.col("type") == ancestor).select(F.col(key).alias("_k"), F.col("node_id").alias("_a"), F.col("subtree_end").alias("_b"))
-    below = nodes.join(tops, (F.col(key) == F.col("_k")) & (F.col("node_id") > F.col("_a")) & (F.col("node_id") <= F.col("_b")))
-    return below.groupBy("type").agg(F.count_distinct(key, "node_id").alias("n"))
+    """Node types found below nodes of one type, with counts."""
+    return below(nodes, F.col("type") == ancestor, key).where("inside").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def skeletons(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -96,3 +104,16 @@ def skeletons(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
 def semantic_groups(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Valid documents of one meaning: grouped by the hash of their canonical text."""
     return parsed.where("canonical_hash is not null").groupBy("canonical_hash").agg(F.min(key).alias("first_doc"), F.count(F.lit(1)).alias("n_docs"))
+
+
+def numbered(rows: DataFrame, by: str, order: str, name: str = "n") -> DataFrame:
+    """Adds the number of a row among those of its ``by``, in the order of ``order``.
+
+    Rows are dealt out in ranges of both, so a common value spreads over several tasks; the
+    rows of a value in the ranges before come from a table with a row for each value and range.
+    """
+    ranges = stored(rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = ranges.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_range").orderBy(order)))
+    sums = ranges.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(sums.withColumn("_before", before).drop("_k"), [by, "_range"]).withColumn(name, F.col("_n") + F.col("_before")).drop("_n", "_before", "_range")

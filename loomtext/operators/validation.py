@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..grammar.tree import NODE_FIELDS
+from .relations import below, ordinals
+
 #: The fields that a node type must have.
 REQUIRED = {
     "heading": ("level",), "codeBlock": ("value",), "mathBlock": ("value",), "commentBlock": ("value",), "imageBlock": ("dest",), "videoBlock": ("dest",),
@@ -21,14 +24,21 @@ REQUIRED = {
 }
 #: Types without fields that must be there.
 PLAIN = ("document", "recoveryDocument", "paragraph", "horizontalRule", "quoteRegion", "listItem", "tableRow", "tableCell", "gridRow", "softBreak", "hardBreak", "em", "strong", "deletion", "obsolete", "insert", "mark", "metadataSpan")
+#: The fields that a node type may have besides, and those that every block may have.
+OPTIONAL = {
+    "codeBlock": ("code_lang",), "imageBlock": ("title", "attr_group", "attr_lang", "data_attrs"), "container": ("container_type", "container_title"), "gridCell": ("row_span", "col_span"),
+    "list": ("start_no",), "listItem": ("task", "item_value"), "link": ("title", "download", "attr_lang", "data_attrs"), "inlineImage": ("title", "attr_group", "attr_lang", "data_attrs"),
+    "metadataSpan": ("attr_lang", "data_attrs"), "downloadBlock": ("title", "attr_lang", "data_attrs"), "errorBlock": ("value",),
+} | {f"{kind}Block": ("title", "attr_group", "attr_lang", "attr_preview", "data_attrs") for kind in ("video", "audio", "embed")}
+ANYWHERE = ("block_id", "quote_level")
+#: Spans that don't nest directly in their own kind, and those whose delimiter can't stand beside a word.
+SPANS = ("em", "strong", "deletion", "obsolete", "insert", "mark", "metadataSpan")
+FLANKED = ("deletion", "obsolete", "insert", "mark")
+#: Budgets of a document: its nodes and its deepest nesting.
+MOST_NODES, MOST_FRAMES = 100_000, 5_000
 WHITE = r"[\x09-\x0D \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    """``(type, field)`` of the required fields; a constant small table."""
-    return spark.createDataFrame([(t, f) for t, fields in REQUIRED.items() for f in fields], "type string, field string")
-
-
 def shape_violations(nodes: DataFrame) -> DataFrame:
     """Unknown types, required fields that are null, and values out of range."""
     missing = F.lit(False)
@@ -41,6 +51,15 @@ def shape_violations(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "node_id", rule.alias("rule")).where("rule is not null")
 
 
+def closed_violations(nodes: DataFrame) -> DataFrame:
+    """Fields that are there and that the node's type doesn't have."""
+    allowed = {t: {*REQUIRED.get(t, ()), *OPTIONAL.get(t, ()), *ANYWHERE} for t in (*REQUIRED, *PLAIN)}
+    extra = F.lit(False)
+    for field in (f for f in NODE_FIELDS if f not in ANYWHERE and f in nodes.columns):
+        extra = extra | (F.col(field).isNotNull() & ~F.col("type").isin(*[t for t, fields in allowed.items() if field in fields]))
+    return nodes.where(F.col("type").isin(*allowed) & extra).select("doc_id", "node_id", F.lit("field of another type").alias("rule"))
+
+
 def _siblings() -> Window:
     return Window.partitionBy("doc_id", "parent_id", "slot").orderBy("pos")
 
@@ -89,8 +108,6 @@ def quote_violations(nodes: DataFrame) -> DataFrame:
 
 def list_violations(nodes: DataFrame) -> DataFrame:
     """Starts of 1 or on unordered lists, values on first items or that don't deviate, tasks in definitions."""
-    from .relations import ordinals
-
     lists = nodes.where("type = 'list'").select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind").alias("list_kind"))
     starts = nodes.where("type = 'list' and (start_no = 1 or kind <> 'ordered' and start_no is not null)").select("doc_id", "node_id", F.lit("list start").alias("rule"))
     items = nodes.where("type = 'listItem'").join(lists, ["doc_id", "parent_id"])
@@ -120,17 +137,38 @@ def grid_violations(nodes: DataFrame) -> DataFrame:
 
 
 def nesting_violations(nodes: DataFrame) -> DataFrame:
-    """Links in labels and breaks in one-line spans, by interval joins of ancestors and descendants."""
-    def below(tops: str, kids: str, rule: str) -> DataFrame:
-        a = nodes.where(tops).select(F.col("doc_id").alias("_k"), F.col("node_id").alias("_a"), F.col("subtree_end").alias("_b"))
-        return nodes.where(kids).join(a, (F.col("doc_id") == F.col("_k")) & (F.col("node_id") > F.col("_a")) & (F.col("node_id") <= F.col("_b")), "left_semi").select("doc_id", "node_id", F.lit(rule).alias("rule"))
+    """Links in labels, breaks in one-line spans, and spans right inside one of their kind."""
+    def inside(tops: str, kids: str, rule: str) -> DataFrame:
+        return below(nodes, F.expr(tops)).where(F.col("inside") & F.expr(kids)).select("doc_id", "node_id", F.lit(rule).alias("rule"))
+
+    labels = inside("type in ('link', 'inlineImage')", "type in ('link', 'autolink', 'footnoteReference')", "link in a label")
+    lines = inside("type in ('obsolete', 'insert', 'mark', 'heading', 'tableCell', 'footnoteDefinition')", "type in ('softBreak', 'hardBreak')", "break in one line")
+    spans = nodes.where(F.col("type").isin(*SPANS))
+    parents = spans.select("doc_id", F.col("node_id").alias("parent_id"), "type")
+    same = spans.join(parents, ["doc_id", "parent_id", "type"], "left_semi").select("doc_id", "node_id", F.lit("same kind inside").alias("rule"))
+    return labels.unionByName(lines).unionByName(same)
+
+
+def flank_violations(nodes: DataFrame) -> DataFrame:
+    """Spans whose delimiter can't stand beside a word, with a text at their side that ends or begins in one.
+
+    A word is made of letters, decimal digits and underscores.
+    """
+    w = _siblings()
+    value = F.when(F.col("type") == "text", F.col("value"))
+    marked = nodes.withColumns({"_left": F.lag(value).over(w), "_right": F.lead(value).over(w)})
+    beside = F.col("_left").rlike(r"[\p{L}\p{Nd}_]\z") | F.col("_right").rlike(r"^[\p{L}\p{Nd}_]")
+    return marked.where(F.col("type").isin(*FLANKED) & beside).select("doc_id", "node_id", F.lit("delimiter beside a word").alias("rule"))
+
 
-    labels = below("type in ('link', 'inlineImage')", "type in ('link', 'autolink', 'footnoteReference')", "link in a label")
-    lines = below("type in ('obsolete', 'insert', 'mark', 'heading', 'tableCell', 'footnoteDefinition')", "type in ('softBreak', 'hardBreak')", "break in one line")
-    return labels.unionByName(lines)
+def budget_violations(nodes: DataFrame, most_nodes: int = MOST_NODES, most_frames: int = MOST_FRAMES) -> DataFrame:
+    """Documents with more nodes or deeper nesting than the budgets, named at their root."""
+    sizes = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deep"))
+    rule = F.when(F.col("n") > most_nodes, "node budget").when(F.col("deep") > most_frames, "frame budget")
+    return sizes.select("doc_id", F.lit(0).alias("node_id"), rule.alias("rule")).where("rule is not null")
 
 
-RULES = (shape_violations, whitespace_violations, text_violations, table_violations, quote_violations, list_violations, grid_violations, nesting_violations)
+RULES = (shape_violations, closed_violations, budget_violations, whitespace_violations, flank_violations, text_violations, table_violations, quote_violations, list_violations, grid_violations, nesting_violations)
 
 
 def violations(nodes: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ _OWN = ""
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where a session names none, as in tests, a fresh local folder."""
+    """``spark.checkpoint.dir``; only a local session that names none, as in tests, gets a fresh local folder."""
     global _OWN
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         where = _OWN = _OWN or "file://" + tempfile.mkdtemp(prefix="loomtext-")
     return where.rstrip("/")
 
