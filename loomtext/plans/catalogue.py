@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import sqlfuncs as S
 from ..functions.sqlfuncs import language_tag_ok, slug
 from ..operators import documents as D
 from ..operators import fixtures as X
@@ -165,18 +167,6 @@ def setext_errors(spark, sf):
     return D.finding_table(each(table(spark, sf, "orders"), "o_orderkey", text)).where("severity = 'error'").select("doc_id", "category")
 
 
-@query("""
-SELECT doc_id, n AS island, l AS paragraph FROM (
-  SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS l, generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), 1) AS n FROM (
-    SELECT doc_id, regexp_replace(text, '[ \\t]+', ' ', 'g') AS text FROM documents)) WHERE l = trim(l)""")
-def paragraph_islands(spark, sf):
-    """Lines set apart by blank lines come back as the runs that they were."""
-    docs = table(spark, sf, "documents").select("doc_id", F.expr(r"replace(regexp_replace(text, '[ \\t]+', ' '), '\n', '\n\n')").alias("text"))
-    rows = L.paragraphs(L.quick_lines(docs)).select("doc_id", "island", "paragraph", "first_line")
-    lines = L.quick_lines(docs).where("line = trim(line)").select("doc_id", F.col("line_no").alias("first_line"))
-    return rows.join(lines, ["doc_id", "first_line"], "left_semi").select("doc_id", "island", "paragraph")
-
-
 @query("""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
@@ -347,6 +337,14 @@ def table_alignment(spark, sf):
     return nodes.select("doc_id", F.posexplode("alignments").alias("p", "alignment")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("col_no"), "alignment")
 
 
+@query("""
+SELECT DISTINCT l_orderkey::BIGINT AS doc_id, c.col::BIGINT AS col_no, CASE c.col WHEN 1 THEN 'left' WHEN 2 THEN 'center' ELSE 'right' END AS alignment FROM lineitem, (SELECT unnest([1, 2, 3]) AS col) c""")
+def separator_alignments(spark, sf):
+    """Alignments from the separator lines of canonical tables, natively."""
+    rows = L.quick_lines(_order_tables(spark, sf)).withColumn("line", F.replace("line", F.lit("|:---|:---:|---:|"), F.lit("| :--- | :---: | ---: |")))
+    return L.alignments(rows).select("doc_id", "col_no", "alignment")
+
+
 @query("""SELECT p_partkey::BIGINT AS doc_id, p_brand || '|' || p_size AS value FROM part""")
 def table_escaped_pipes(spark, sf):
     r"""A pipe behind a backslash is part of its cell, in text and in code."""
@@ -421,13 +419,6 @@ def images(spark, sf):
     return D.node_table(each(table(spark, sf, "supplier"), "s_suppkey", text)).where("dest is not null").select("doc_id", "type", "dest")
 
 
-@query("""SELECT page_id::BIGINT AS doc_id, 'url' AS kind, url AS value FROM pages WHERE regexp_full_match(url, 'https?://[^ <>*_~]*[a-z0-9]')""")
-def autolinks(spark, sf):
-    docs = table(spark, sf, "pages").where("url rlike '^https?://[^ <>*_~]*[a-z0-9]$'")
-    nodes = D.node_table(each(docs, "page_id", "concat('At ', if(page_id % 2 = 0, concat('<', url, '>'), concat(url, '.')), '\n')"))
-    return nodes.where("type = 'autolink'").select("doc_id", "kind", "value")
-
-
 @query("""
 SELECT page_id::BIGINT AS doc_id, form, 'url' AS kind, CASE WHEN form = 'angle' THEN url ELSE regexp_replace(regexp_replace(url, '[?!.,:*_~]+$', ''), '&[0-9A-Za-z]+;$', '') END AS value
 FROM pages, (VALUES ('angle'), ('bare')) f(form)""")
@@ -470,8 +461,8 @@ def resources(spark, sf):
 
 @query("""SELECT p_partkey::BIGINT AS doc_id, p_brand AS attr_group, 'Seen in ' || p_size AS caption FROM part""")
 def resource_captions(spark, sf):
-    text = r"concat('<m group=', p_brand, '>![', p_name, '](p.png)\\\n*Seen in ', p_size, '*</m>\n')".replace("\\\\\\n", "\\\\\n")
-    nodes = D.node_table(each(table(spark, sf, "part").where("not contains(p_brand, ' ')"), "p_partkey", text))
+    text = r"concat('<m group=\"', p_brand, '\">![', p_name, '](p.png)\\\n*Seen in ', p_size, '*</m>\n')".replace("\\\\\\n", "\\\\\n")
+    nodes = D.node_table(each(table(spark, sf, "part"), "p_partkey", text))
     captions = nodes.where("slot = 'caption' and type = 'text'").select("doc_id", F.col("parent_id").alias("node_id"), F.col("value").alias("caption"))
     return nodes.where("type = 'imageBlock'").join(captions, ["doc_id", "node_id"]).select("doc_id", "attr_group", "caption")
 
@@ -583,6 +574,39 @@ def rule_violations(spark, sf):
     return both.agg(F.count_if(F.col("v") == 0).alias("n_docs"), F.count_if(F.col("v") == 1).alias("n_violations"))
 
 
+@query("""SELECT c_custkey::BIGINT AS doc_id, 'field of another type' AS rule FROM customer WHERE c_custkey % 3 = 0""")
+def closed_violations(spark, sf):
+    """A paragraph with a heading's field in a third of the trees."""
+    nodes = D.node_table(each(table(spark, sf, "customer"), "c_custkey", "concat('# ', c_name, '\n\n', c_mktsegment, '\n')"))
+    broken = nodes.withColumn("level", F.when((F.col("type") == "paragraph") & (F.col("doc_id") % 3 == 0), 2).otherwise(F.col("level")))
+    return V.closed_violations(broken).select("doc_id", "rule")
+
+
+@query("""SELECT c_custkey::BIGINT AS doc_id, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 20 < 7 THEN 'frame budget' ELSE 'node budget' END AS rule FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 20 > 10""")
+def budget_violations(spark, sf):
+    """Budgets of 22 nodes and 4 levels, over documents of one paragraph for each unit of their size, some with a nested list."""
+    text = "concat(repeat('word\n\n', cast(c_custkey % 20 as int)), if(c_custkey % 2 = 0, '- a\n  - b\n', 'end\n'))"
+    return V.budget_violations(D.node_table(each(table(spark, sf, "customer"), "c_custkey", text)), 22, 4).select("doc_id", "rule")
+
+
+@query("""SELECT s_suppkey::BIGINT AS doc_id, CASE WHEN s_suppkey % 3 = 0 THEN 'delimiter beside a word' ELSE 'same kind inside' END AS rule FROM supplier WHERE s_suppkey % 3 < 2""")
+def span_violations(spark, sf):
+    """Marks that touch a word in a third of the trees, and emphasis right inside emphasis in another."""
+    nodes = D.node_table(each(table(spark, sf, "supplier"), "s_suppkey", "concat('In ==', s_name, '== *so __on__* and\n')"))
+    text = (F.col("type") == "text") & (F.col("pos") == 0) & (F.col("depth") == 2)
+    broken = nodes.withColumn("value", F.when(text & (F.col("doc_id") % 3 == 0), F.lit("In")).otherwise(F.col("value")))
+    broken = broken.withColumn("type", F.when((F.col("type") == "strong") & (F.col("doc_id") % 3 == 1), F.lit("em")).otherwise(F.col("type")))
+    return V.flank_violations(broken).select("doc_id", "rule").unionByName(V.nesting_violations(broken).select("doc_id", "rule"))
+
+
+@query("""SELECT o_orderkey::BIGINT AS doc_id, 'o' || o_orderkey AS block_id FROM orders WHERE o_orderkey % 2 = 0""")
+def scope_violations(spark, sf):
+    """Ids put on paragraphs of half the trees, where the paragraph lies in a list item."""
+    nodes = D.node_table(each(table(spark, sf, "orders"), "o_orderkey", "concat('- ', o_orderstatus, '\n\ntext\n')"))
+    broken = nodes.withColumn("block_id", F.when((F.col("type") == "paragraph") & ((F.col("doc_id") % 2 == 0) | (F.col("depth") == 1)), F.concat(F.lit("o"), "doc_id")))
+    return R.scope_violations(broken).select("doc_id", "block_id")
+
+
 # canonical texts
 
 
@@ -601,14 +625,6 @@ def canonical_verdict(spark, sf):
     return D.canonical_verdicts(each(table(spark, sf, "orders"), "o_orderkey", f"if(o_orderkey % 2 = 0, {_CANONICAL}, {_TOLERANT})")).select("doc_id", "verdict")
 
 
-@query("""
-SELECT min(doc_id)::BIGINT AS first_doc, count(*) AS n_docs FROM documents WHERE regexp_full_match(text, '[A-Za-z][A-Za-z ,.]*(\\n[A-Za-z][A-Za-z ,.]*)*') AND NOT regexp_matches(text, '[ ](\\n|$)') GROUP BY text""")
-def canonical_dedup(spark, sf):
-    """Documents of one meaning, for plain prose: there the canonical text is the text."""
-    docs = table(spark, sf, "documents").where(r"text rlike '^[A-Za-z][A-Za-z ,.]*(\\n[A-Za-z][A-Za-z ,.]*)*$' and not text rlike ' (\\n|$)'")
-    return R.semantic_groups(D.parse_documents(docs, nodes=False)).select("first_doc", "n_docs")
-
-
 def canonical_groups(spark, sf):
     """All documents of one meaning, whatever they hold: the canonical text is what the grammar makes of each."""
     return R.semantic_groups(D.parse_documents(table(spark, sf, "documents"), nodes=False)).select("first_doc", "n_docs")
@@ -710,14 +726,19 @@ SELECT p_partkey::BIGINT AS doc_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' |
 def heading_slugs(spark, sf):
     """Slugs of part types, numbered where they repeat."""
     rows = table(spark, sf, "part").select(F.col("p_partkey").cast("bigint").alias("doc_id"), slug(F.col("p_type")).alias("s"))
-    n = F.row_number().over(Window.partitionBy("s").orderBy("doc_id"))
-    return rows.select("doc_id", n.alias("n"), "s").select("doc_id", F.when(F.col("n") == 1, F.col("s")).otherwise(F.concat_ws("-", "s", "n")).alias("slug"))
+    return R.numbered(rows, "s", "doc_id").select("doc_id", F.when(F.col("n") == 1, F.col("s")).otherwise(F.concat_ws("-", "s", "n")).alias("slug"))
 
 
-@query("SELECT CAST(2000 AS BIGINT) AS n_docs, CAST(0 AS BIGINT) AS law_roundtrip, CAST(0 AS BIGINT) AS law_idempotent, CAST(0 AS BIGINT) AS law_strict")
+@query("SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS law_roundtrip, CAST(0 AS BIGINT) AS law_idempotent, CAST(0 AS BIGINT) AS law_strict FROM customer")
 def soak_summary(spark, sf):
-    """Seeded random documents held against the laws; invalid ones only have to be read to the end."""
-    return P.law_report(P.soak_documents(spark, 2000)).select("n_docs", "law_roundtrip", "law_idempotent", "law_strict")
+    """A seeded random document for each customer held against the laws; invalid ones only have to be read to the end."""
+    return P.law_report(P.soak_documents(table(spark, sf, "customer"), "c_custkey")).select("n_docs", "law_roundtrip", "law_idempotent", "law_strict")
+
+
+@query("SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS law_closure FROM customer")
+def tree_soak(spark, sf):
+    """A seeded random tree for each customer, written and read back."""
+    return P.tree_report(table(spark, sf, "customer"), "c_custkey")
 
 
 @query("""
@@ -727,6 +748,101 @@ def corpus_evidence(spark, sf):
     return P.evidence(each(table(spark, sf, "orders"), "o_orderkey", text)).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "invalid").alias("n_invalid"))
 
 
+# the tables' own texts
+
+_TEXTS = (("benchmark", "item_id", "text"), ("conversations", "conv_id", "text"), ("documents", "doc_id", "text"), ("pages", "page_id", "html"))
+_COUNTED = " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS n FROM {t}" for t, _, _ in _TEXTS)
+
+
+def _texts(spark, sf):
+    """The texts of four tables under the name of each: prose, turns, test questions and raw web pages."""
+    parts = [table(spark, sf, t).select(F.lit(t).alias("doc_id"), F.col(c).alias("text")) for t, _, c in _TEXTS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"SELECT source, n AS n_docs, CAST(0 AS BIGINT) AS law_roundtrip, CAST(0 AS BIGINT) AS law_idempotent, CAST(0 AS BIGINT) AS law_strict FROM ({_COUNTED})")
+def corpus_laws(spark, sf):
+    """Every text of four tables is read, and what is valid is written and read again: violations of the laws."""
+    return P.laws_held(_texts(spark, sf)).groupBy(F.col("doc_id").alias("source")).agg(*P.law_counts()).select("source", "n_docs", "law_roundtrip", "law_idempotent", "law_strict")
+
+
+@query(f"SELECT source, n AS n_docs, CAST(0 AS BIGINT) AS n_unstable FROM ({_COUNTED})")
+def import_laws(spark, sf):
+    """Every text of four tables is imported, and the result is canonical as it stands."""
+    again = D.canonical_verdicts(P.imported(_texts(spark, sf)).select("doc_id", F.col("canonical").alias("text")))
+    return again.groupBy(F.col("doc_id").alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("verdict") != "canonical").alias("n_unstable"))
+
+
+@query("SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_again, CAST(0 AS BIGINT) AS n_noncanonical FROM documents")
+def adopt_laws(spark, sf):
+    """Adopted documents have nothing left to adopt, and their texts are canonical."""
+    adopted = stored(D.adopt_documents(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.col("adopted").alias("text")), "adopted")
+    again = D.adopt_documents(adopted).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("added_ids") > 0).alias("n_again"))
+    return again.crossJoin(D.canonical_verdicts(adopted).agg(F.count_if(F.col("verdict") != "canonical").alias("n_noncanonical")))  # a row each
+
+
+@query("""
+WITH l AS (SELECT conv_id::BIGINT * 1000 + turn AS doc_id, unnest(string_split(text, chr(10))) AS l FROM conversations)
+SELECT doc_id, count(*) AS n_texts, sum(length(trim(l)))::BIGINT AS n_chars FROM l WHERE trim(l) <> '' GROUP BY doc_id""")
+def turn_texts(spark, sf):
+    """Lines and characters of every turn of a conversation, from the nodes that the reader makes of it."""
+    docs = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    nodes = D.node_table(docs).where("type = 'text'")
+    return nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("value")).alias("n_chars"))
+
+
+@query(r"""
+SELECT doc_id::BIGINT AS doc_id, CAST(greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) + 1) AS INTEGER) AS fence,
+  CAST(length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS INTEGER) AS units FROM documents""")
+def text_measures(spark, sf):
+    """The fence that each document would need as a code block, and its length in UTF-16."""
+    return table(spark, sf, "documents").select("doc_id", F.length(S.safe_fence(F.col("text"))).alias("fence"), S.utf16_units(F.col("text")).alias("units"))
+
+
+# imports
+
+
+@query("""SELECT c_custkey::BIGINT AS doc_id, '- ' || c_name || E'\n- ' || c_mktsegment || E'\n  lazy\n\n3. x\n' || (7 + c_nationkey) || '. ' || c_custkey || E'\n' AS canonical FROM customer""")
+def import_lists(spark, sf):
+    """Lists of other bullets are one, lazy lines join their item, and numbers that deviate stay."""
+    text = "concat('* ', c_name, '\n\n+ ', c_mktsegment, '\nlazy\n\n3) x\n', 7 + c_nationkey, ') ', c_custkey, '\n')"
+    return P.imported(each(table(spark, sf, "customer"), "c_custkey", text)).select("doc_id", "canonical")
+
+
+@query("""SELECT s_suppkey::BIGINT AS doc_id, '| name | nation |' || E'\n| :--- | ---: |\n| ' || s_name || E' |  |\n| ' || s_name || ' | ' || s_nationkey || E' |\n' AS canonical, CAST(1 AS BIGINT) AS n_fitted, CAST(1 AS BIGINT) AS n_dropped FROM supplier""")
+def import_tables(spark, sf):
+    """Rows that are too short or too long are fitted to the header."""
+    text = "concat('name|nation\n:-|-:\n', s_name, '\n', s_name, '|', s_nationkey, '|more\n')"
+    count = lambda c: F.size(F.filter("losses", lambda x: x["category"] == c)).cast("bigint")
+    return P.imported(each(table(spark, sf, "supplier"), "s_suppkey", text)).select("doc_id", "canonical", count("normalised").alias("n_fitted"), count("content-dropped").alias("n_dropped"))
+
+
+@query("""SELECT o_orderkey::BIGINT AS doc_id, '> ' || o_orderstatus || E'\n> lazy\n> > ' || o_orderpriority || E'\n' AS canonical FROM orders""")
+def import_quotes(spark, sf):
+    """Quotes with lazy lines and a deeper level."""
+    return P.imported(each(table(spark, sf, "orders"), "o_orderkey", "concat('>', o_orderstatus, '\nlazy\n>\n>> ', o_orderpriority, '\n')")).select("doc_id", "canonical")
+
+
+@query("""SELECT p_partkey::BIGINT AS doc_id, 'See[^p] and \\[^q].' || E'\n\n[^p]: ' || p_name || ' more ' || p_size || E'\n' AS canonical, 'semantic-degradation source-structure-loss' AS lost FROM part""")
+def import_footnotes(spark, sf):
+    """Footnotes of several blocks become one line, and references to none become text."""
+    text = "concat('See[^p] and [^q].\n\n[^p]: ', p_name, '\n\n    more ', p_size, '\n')"
+    return P.imported(each(table(spark, sf, "part"), "p_partkey", text)).select("doc_id", "canonical", F.array_join("losses.category", " ").alias("lost"))
+
+
+@query("""SELECT page_id::BIGINT AS doc_id, 'At <' || url || '> or <p' || page_id || E'@x.example>\n' AS canonical FROM pages""")
+def import_autolinks(spark, sf):
+    """Links whose text is their target become autolinks."""
+    text = "concat('At [', url, '](', url, ') or [p', page_id, '@x.example](mailto:p', page_id, '@x.example)\n')"
+    return P.imported(each(table(spark, sf, "pages"), "page_id", text)).select("doc_id", "canonical")
+
+
+@query(r"""SELECT p_partkey::BIGINT AS doc_id, lower(p_brand) || ' ' || p_partkey AS label FROM part""")
+def normal_labels(spark, sf):
+    rows = each(table(spark, sf, "part"), "p_partkey", "concat('  ', p_brand, ' \t\n ', p_partkey, ' ')")
+    return rows.select("doc_id", S.label(F.col("text")).alias("label"))
+
+
 # migration and fixtures
 
 
@@ -772,6 +888,30 @@ def fixture_count_faults(spark, sf):
     return X.count_faults(cases, cases.select("group").distinct().withColumn("n", F.lit(7)))
 
 
+@query("""SELECT 'c-' || p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'quotes' ELSE 'lists' END AS construct FROM part WHERE p_partkey % 3 <> 2
+UNION ALL SELECT 'c-' || p_partkey, 'marker indentation' FROM part WHERE p_partkey % 3 <> 2 AND p_partkey % 5 <> 0 UNION ALL SELECT 'c-' || p_partkey, 'html' FROM part WHERE p_partkey % 3 = 2""")
+def section_routing(spark, sf):
+    """Cases of three sections, routed by section or by what the corpus's reader found in them."""
+    rows = table(spark, sf, "part").select(F.expr("concat('c-', p_partkey)").alias("id"), F.expr("element_at(array('Lists', 'List items', 'HTML blocks'), cast(p_partkey % 3 + 1 as int))").alias("section"), F.expr("if(p_partkey % 5 = 0, array('blockquote', 'list'), array('paragraph'))").alias("kinds"))
+    return X.routed(rows).select("id", "construct")
+
+
+@query("""SELECT 'c-' || p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'same' WHEN 1 THEN 'reject' WHEN 2 THEN 'structural' WHEN 3 THEN CASE WHEN p_size > 20 THEN 'import-only' ELSE 'fail' END ELSE 'n/a' END AS status FROM part""")
+def case_statuses(spark, sf):
+    """Cases against a catalogue of sections and behaviours."""
+    cases = table(spark, sf, "part").select(F.expr("concat('c-', p_partkey)").alias("id"), F.expr("concat('s', p_partkey % 5)").alias("section"), F.lit("list").alias("skeleton"), F.expr("if(p_partkey % 5 = 0, 'list', 'paragraph')").alias("expected"), F.expr("p_size > 20").alias("stable"))
+    catalogue = spark.createDataFrame([("s1", "reject"), ("s2", "structural"), ("s3", "import"), ("s4", "none")], "section string, behaviour string")
+    return X.classified(cases, catalogue).select("id", "status")
+
+
+@query("""SELECT 'c-' || o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0""")
+def promoted_cases(spark, sf):
+    """Candidates whose text is canonical, by their verdicts."""
+    docs = table(spark, sf, "orders").select(F.expr("concat('c-', o_orderkey)").alias("doc_id"), F.expr("concat('Order ', o_orderkey, element_at(array('', '\n\n***', ' `open', ' [^no]'), cast(o_orderkey % 4 + 1 as int)), '\n')").alias("text"))
+    verdicts = D.canonical_verdicts(docs).select(F.col("doc_id").alias("id"), F.col("verdict").alias("outcome"))
+    return X.promoted(docs.select(F.col("doc_id").alias("id"), "text"), verdicts).select("id")
+
+
 @query("""SELECT count(*) AS n_cases, count(DISTINCT p_brand) AS n_groups, count_if(p_partkey % 3 = 0)::BIGINT AS n_valid FROM part""")
 def corpus_facts(spark, sf):
     return X.facts(_cases(spark, sf))

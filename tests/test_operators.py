@@ -1,5 +1,6 @@
 """Operators on small tables: edge cases, sources, streams, SQL functions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import sqlfuncs
@@ -94,3 +95,39 @@ def test_reports(spark):
     assert {r["outcome"]: r["n"] for r in reports.triage(docs).collect()} == {"canonical": 1, "noncanonical": 1, "syntax": 1, "semantic": 1}
     assert reports.evidence(docs).where("import_stable").count() >= 3
     assert reports.law_report(table(spark, [])).first()["n_docs"] == 0
+
+
+def test_line_ends_of_other_kinds(spark):
+    """Line separators that are no line feeds stay inside a line, and don't end a pattern."""
+    for mark in "\x85  ":
+        docs = table(spark, [(1, f"a{mark}\n{mark}\n# h{mark}\n- x{mark}y\n")])
+        rows = lines.quick_lines(docs)
+        assert [r["line"] for r in rows.orderBy("line_no").collect()] == [f"a{mark}", mark, f"# h{mark}", f"- x{mark}y"]
+        assert rows.where(lines.is_blank(F.col("line"))).count() == 0
+        assert lines.headings(rows).first()["heading"] == f"h{mark}" and lines.list_markers(rows).first()["content"] == f"x{mark}y"
+        sqlfuncs.register(spark)
+        row = spark.createDataFrame([(f"a\n\n{mark}", mark)], "t string, b string").selectExpr("trailing_lf(t) t", "is_blank_line(b) b").first()
+        assert row["t"] == 0 and not row["b"]
+        assert transport.with_report(table(spark, [(1, f"a\n{mark}")])).first()["trailing_lf"] == 0
+
+
+def test_command_flags(spark):
+    docs = table(spark, [(1, "*a*\n"), (2, "_a_\n")])
+    for command, flags in (("format", {"check": True, "stdout": True}), ("check", {"check": True}), ("check", {"stdout": True}), ("adopt", {"strict": True}), ("lint", {})):
+        with pytest.raises(ValueError):
+            documents.run_command(docs, command, **flags)
+    assert [r["new_content"] for r in documents.run_command(docs, "format", stdout=True).orderBy("doc_id").collect()] == ["*a*\n", "*a*\n"]
+    assert [r["exit_code"] for r in documents.run_command(docs, "format", check=True).orderBy("doc_id").collect()] == [0, 1]
+    assert [r["exit_code"] for r in documents.run_command(docs, "format", strict=True).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_numbers_of_a_common_value(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"v{i}", i) for i in range(3000)], "s string, k int")
+    got = relations.numbered(rows, "s", "k").collect()
+    assert sorted(r["n"] for r in got if r["s"] == "hot") == list(range(1, 2001))
+    assert [r["n"] for r in sorted(got, key=lambda r: r["k"]) if r["s"] == "hot"] == list(range(1, 2001)) and all(r["n"] == 1 for r in got if r["s"] != "hot")
+
+
+def test_spread_deals_out_small_inputs(spark):
+    one = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).coalesce(1)
+    assert documents.spread(one).rdd.getNumPartitions() > 1
