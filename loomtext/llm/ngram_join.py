@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release, tasks_for
 from .components import components
 
 WORDS, SHARE = 4, 85
@@ -46,6 +46,8 @@ BLOCK = 1 << 16
 TREE_SETS, TREE_GRAMS, SORTED = 256, 2_000_000, 1 << 19
 #: Rows of one n-gram that one task compares with each other; longer lists are split into parts of this size.
 LIST_ROWS = 4096
+#: Rows that a task holds for comparison (about 100 bytes each) unless one list is longer, and pairs compared at a time.
+HELD_ROWS, SLICE = 1 << 17, 1 << 16
 #: Ids that may be broadcast (16 MB); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -190,26 +192,27 @@ def links_in(sets: list[np.ndarray], share: int = SHARE, joined: list[int] | Non
 
 def _prepare(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """A row for each document (row id, size, signature, seed keys) and blocks of each task's count sketch."""
-    schema = "rid bigint, doc bigint, n bigint, sig string, keys array<bigint>, parity binary, block int, sketch binary"
+    schema = "rid bigint, doc bigint, n bigint, sig string, keys array<bigint>, parity binary, digest bigint, block int, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         rid, since, sketch = task << 33, 0, np.zeros(1 << SKETCH_BITS, np.uint16)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
-        names = ["rid", "doc", "n", "sig", "keys", "parity", "block", "sketch"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["rid", "doc", "n", "sig", "keys", "parity", "digest", "block", "sketch"]
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 ids = batch.column(0).slice(start, 512).to_pylist()
                 out = []
-                for doc, t in zip(ids, batch.column(1).slice(start, 512).to_pylist(), strict=True):
+                for doc, t, digest in zip(ids, *(batch.column(i).slice(start, 512).to_pylist() for i in (1, 2)), strict=True):
                     grams = gram_set(t, words)
                     if len(grams):
-                        np.add.at(sketch, (grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
-                        out.append((rid, doc, len(grams), _signature(grams), _keys(grams), _parity(grams), None, None))
+                        sketch[(grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)] += 1  # two n-grams of a text in one bucket count once
+                        out.append((rid, doc, len(grams), _signature(grams), _keys(grams), _parity(grams), digest, None, None))
                     else:
-                        out.append((rid, doc, 0, None, None, None, None, None))
+                        out.append((rid, doc, 0, None, None, None, digest, None, None))
                     rid += 1
                 since += len(ids)
                 if since > 10_000:  # counts stay below what 16 bits hold; what is this common is common
@@ -221,11 +224,11 @@ def _prepare(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             for block in range(start // BLOCK, min(start // BLOCK + 64, (1 << SKETCH_BITS) // BLOCK)):
                 part = sketch[block * BLOCK:(block + 1) * BLOCK]
                 if len(at := np.flatnonzero(part)):
-                    rows.append((None, None, None, None, None, None, block, zlib.compress(at.astype(np.uint16).tobytes() + part[at].tobytes(), 1)))
+                    rows.append((None, None, None, None, None, None, None, block, zlib.compress(at.astype(np.uint16).tobytes() + part[at].tobytes(), 1)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("bigint"), text, F.xxhash64(text)).mapInArrow(run, schema)
 
 
 def _common_buckets(prepared: DataFrame) -> bytes:
@@ -238,6 +241,7 @@ def _common_buckets(prepared: DataFrame) -> bytes:
     most = mean + 4 * mean ** 0.5 + 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         def settle(block: int, counts: np.ndarray) -> pa.RecordBatch:
             bits = np.packbits(counts > most, bitorder="little").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"])
@@ -254,7 +258,7 @@ def _common_buckets(prepared: DataFrame) -> bytes:
         if own is not None:
             yield settle(own, counts)
 
-    rows = prepared.where("block is not null").select("block", "sketch").repartition(F.col("block")).sortWithinPartitions("block")
+    rows = prepared.where("block is not null").select("block", "sketch").repartition(tasks_for(prepared.sparkSession), F.col("block")).sortWithinPartitions("block")
     bits = bytearray(1 << (SKETCH_BITS - 3))
     for r in rows.mapInArrow(run, "block int, bits binary").toLocalIterator():  # 1 << SKETCH_BITS bits in all
         bits[r["block"] * BLOCK // 8:(r["block"] + 1) * BLOCK // 8] = r["bits"]
@@ -270,6 +274,7 @@ def _prefixes(docs: DataFrame, common: bytes, key: str, text: str, words: int, s
     held = docs.sparkSession.sparkContext.broadcast(common)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bits = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -307,6 +312,7 @@ def _check(edges: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     rows = one.join(texts.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("text").alias("text_b")), "b").select("a", "sig_a", "text_a", "b", "sig_b", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         def settle(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
             found = [(names[i], names[j]) for i, j in links_in(sets, share)] if len(names) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -388,6 +394,7 @@ def _shared_places(prefixes: DataFrame) -> bytes:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "places", "comps"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             flat, row, _ = _flat(batch)
@@ -399,6 +406,7 @@ def _shared_places(prefixes: DataFrame) -> bytes:
             yield parts(*map(np.concatenate, zip(*held, strict=True)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         def settle(block: int, places: list[bytes], comps: list[bytes]) -> pa.RecordBatch:
             place, comp = np.frombuffer(b"".join(places), np.uint16), np.frombuffer(b"".join(comps), np.int64)
             order = np.lexsort((comp, place))
@@ -419,7 +427,7 @@ def _shared_places(prefixes: DataFrame) -> bytes:
             yield settle(own, places, comps)
 
     dealt = prefixes.select("comp", "grams").mapInArrow(deal, "block int, places binary, comps binary")
-    found = dealt.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(keep, "block int, places binary").where(F.octet_length("places") > 0)
+    found = dealt.repartition(tasks_for(prefixes.sparkSession), F.col("block")).sortWithinPartitions("block").mapInArrow(keep, "block int, places binary").where(F.octet_length("places") > 0)
     bits = np.zeros(1 << (LIVE_BITS - 3), np.uint8)
     for r in found.toLocalIterator():  # 1 << LIVE_BITS places in all
         at = r["block"] * BLOCK + np.frombuffer(bytes(r["places"]), np.uint16).astype(np.int64)
@@ -432,6 +440,7 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     held = prefixes.sparkSession.sparkContext.broadcast(_shared_places(prefixes))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bits = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             flat, row, pos = _flat(batch)
@@ -460,12 +469,20 @@ def _pairs(postings: DataFrame, share: int, best: bool) -> DataFrame:
         rows = postings.join(small, "gram", "left").withColumn("own", own).withColumn("k", other)
         rows = rows.withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.least("own", "k") * F.col("parts") + F.greatest("own", "k"))).drop("parts", "own", "k")
 
-    def compare(group, node, comp, n, pos, maps) -> pa.RecordBatch | None:
-        found = []
+    def closest(pairs: np.ndarray) -> np.ndarray:
+        """Distinct pairs ``(a, b, n_a, n_b, lower, upper, differ)``, with ``best`` only the closest of two components."""
+        if best:
+            pairs = pairs[:, np.lexsort((pairs[1], pairs[0], pairs[6], pairs[5], pairs[4]))]
+            return pairs[:, np.r_[True, (pairs[4:6, 1:] != pairs[4:6, :-1]).any(0)]]
+        return np.unique(pairs, axis=1)
+
+    def compare(group, node, comp, n, pos, maps) -> Iterator[np.ndarray]:
+        """Pairs of rows at a growing distance in their group, in slices of bounded size."""
+        found, size, step = [], 0, 1
         at = np.arange(len(group))
-        step = 1
         while len(at := at[at + step < len(group)]) and len(at := at[group[at] == group[at + step]]):
-            for i in np.array_split(at, -(-len(at) // 100_000)):
+            for start in range(0, len(at), SLICE):
+                i = at[start:start + SLICE]
                 j = i + step
                 both = n[i] + n[j]
                 early = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
@@ -474,41 +491,42 @@ def _pairs(postings: DataFrame, share: int, best: bool) -> DataFrame:
                 differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
                 near = (100 + share) * (both - differ) >= 2 * share * both
                 i, j = i[near], j[near]
-                found.append(np.stack((node[i], node[j], n[i], n[j], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), differ[near])))
+                if len(i):
+                    first = node[i] > node[j]
+                    a, b = np.where(first, i, j), np.where(first, j, i)
+                    found.append(np.stack((node[a], node[b], n[a], n[b], np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j]), differ[near])))
+                    size += len(i)
+                if size > SLICE:
+                    found = [closest(np.concatenate(found, axis=1))]
+                    if (size := found[0].shape[1]) > SLICE // 2:
+                        yield found[0]
+                        found, size = [], 0
             step += 1
-        if not found or not (pairs := np.concatenate(found, axis=1)).size:
-            return None
-        if best:
-            pairs = pairs[:, np.lexsort((pairs[1], pairs[0], pairs[6], pairs[5], pairs[4]))]
-            pairs = pairs[:, np.r_[True, (pairs[4:6, 1:] != pairs[4:6, :-1]).any(0)]]
-        pairs = pairs[:4]
-        swap = pairs[0] < pairs[1]
-        pairs[:, swap] = pairs[:, swap][[1, 0, 3, 2]]
-        pairs = np.unique(pairs, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], names=["a", "b", "n_a", "n_b"])
+        if found:
+            yield closest(np.concatenate(found, axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        release()
+        rows: list[np.ndarray] | None = None
         for batch in batches:
             own = [batch.column(i).to_numpy() for i in range(6)]
-            raw = batch.column(6)
-            own.append(np.frombuffer(raw.buffers()[2], np.uint8)[64 * raw.offset:64 * (raw.offset + len(raw))].view(np.uint64).reshape(-1, 8) if raw.offset == 0 and len(raw) else np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, 8))
-            held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
-            if len(held[0]) > SORTED // 2:
-                last = int(np.flatnonzero((held[0] == held[0][-1]) & (held[1] == held[1][-1]))[0])
+            own.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, 8))
+            rows = own if rows is None else [np.concatenate(x) for x in zip(rows, own, strict=True)]
+            if len(rows[0]) > HELD_ROWS:
+                last = int(np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0])
                 if last:
-                    if (out := settle([x[:last] for x in held])) is not None:
-                        yield out
-                    held = [x[last:] for x in held]
-        if held is not None and len(held[0]) and (out := settle(held)) is not None:
-            yield out
-
-    def settle(held: list[np.ndarray]) -> pa.RecordBatch | None:
-        gram, part, *rest = held
+                    yield from settle([x[:last] for x in rows])
+                    rows = [x[last:] for x in rows]
+        if rows is not None and len(rows[0]):
+            yield from settle(rows)
+
+    def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gram, part, *rest = rows
         group = np.cumsum(np.r_[False, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
-        return compare(group, *rest)
+        for pairs in compare(group, *rest):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs[:4]], names=["a", "b", "n_a", "n_b"])
 
-    dealt = rows.select("gram", "part", "node", "comp", "n", "pos", "map").repartition(F.col("gram"), F.col("part")).sortWithinPartitions("gram", "part")
+    dealt = rows.select("gram", "part", "node", "comp", "n", "pos", "map").repartition(tasks_for(postings.sparkSession, postings.count()), F.col("gram"), F.col("part")).sortWithinPartitions("gram", "part")
     return dealt.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint").distinct()
 
 
@@ -518,6 +536,7 @@ def _near(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     both = pairs.join(maps.select(F.col("node").alias("a"), F.col("parity").alias("p")), "a").join(maps.select(F.col("node").alias("b"), F.col("parity").alias("q")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n = np.array(batch.column(2)) + np.array(batch.column(3))
             differ = np.array([_differing(p, q) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
@@ -529,14 +548,26 @@ def _near(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row: the size of its set and the smallest key linked with it.
 
-    Null and blank texts have the empty set and are alone; so is a null key without
-    links, with a null component.  Repeated rows are links of each other like any equal
-    texts, and an empty table gives no rows.
+    Keys are integers or texts of integers.  Null and blank texts have the empty set and
+    are alone; so is a null key without links, with a null component.  Repeated rows are
+    links of each other like any equal texts, and an empty table gives no rows.  Other
+    columns are not read, whatever their names.
+    """
+    return joined_rows(docs, key, text, words, share).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
+def joined_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """``(doc, digest, n_shingles, component_id, first)`` for each row.
+
+    ``digest`` is ``xxhash64`` of the text, so that a row can be told from others of its
+    key; ``first`` holds for one row of each component: of the rows with the smallest key
+    the one with the smallest digest (rows without words are each the first of their own).
     """
     prepared = materialise(_prepare(docs, key, text, words), "join-rows")
-    rows = prepared.where("block is null").select("rid", "doc", "n", "sig", "keys", "parity")
-    grouped = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("rid", "doc")).alias("top"), F.min("doc").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity"))
-    classes = materialise(grouped.select("sig", F.col("top.rid").alias("node"), F.col("top.doc").alias("doc"), "least", "n", "keys", "parity"), "join-classes")
+    rows = prepared.where("block is null").select("rid", "doc", "n", "sig", "keys", "parity", "digest")
+    first_row = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest", "rid")).alias("first")
+    grouped = rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("rid", "doc")).alias("top"), first_row, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity"))
+    classes = materialise(grouped.select("sig", F.col("top.rid").alias("node"), F.col("top.doc").alias("doc"), "first", "n", "keys", "parity"), "join-classes")
     check = lambda pairs: _check(pairs, classes, docs, key, text, words, share)
 
     links = materialise(check(materialise(_near(_seed_edges(classes, share), classes, share), "join-seeds")), "join-links")
@@ -552,9 +583,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             links = links.union(found)
             comps = components(links)
             postings = materialise(_labelled(postings.drop("comp"), comps), "join-postings") if best else postings
-    named = _labelled(classes.select("sig", "node", "least"), comps)
-    smallest = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    final = named.join(smallest, "comp").select("sig", "component_id")
-    return rows.select("doc", F.col("n").alias("n_shingles"), "sig").join(final, "sig", "left").select(
-        F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("sig").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id")
+    named = _labelled(classes.select("sig", "node", "first"), comps)
+    smallest = named.groupBy("comp").agg(F.min("first").alias("least"))
+    final = named.join(smallest, "comp").select("sig", F.col("least.doc").alias("component_id"), F.col("least.rid").alias("_rid"))
+    lone = F.col("sig").isNull()
+    return rows.select("rid", "doc", F.col("n").alias("n_shingles"), "sig", "digest").join(final, "sig", "left").select(
+        "doc", "digest", "n_shingles", F.when(lone, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), (lone | F.col("_rid").eqNullSafe(F.col("rid"))).alias("first")
     )
