@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import digest_of, held
+
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same split for texts of printable ASCII, line breaks, tabs and Latin-1 letters only,
@@ -37,8 +39,8 @@ _OUTSIDE_LATIN = re.compile(f"[^\t\n\r -~¡-©«-±´-¸º»¿-ÿ]")
 _SPLIT_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \t\n\r0-9{_LATIN}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 _SPLIT = regex.compile(SPLIT)
 
-#: Bounds of what one worker keeps: pre-split words with their ids, and compiled states.
-WORDS_KEPT, STATES_KEPT = 200_000, 6_000
+#: Bounds of what one worker keeps: bytes of pre-split words with their ids, the longest word kept, and compiled states.
+KEPT_BYTES, LONGEST_KEPT, STATES_KEPT = 16 << 20, 256, 6_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -51,9 +53,8 @@ def byte_alphabet() -> dict[str, int]:
 class TokenAutomaton:
     """The compiled automaton of one vocabulary; ``never`` marks arcs that no merge removes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, raw: bytes):
+        spec = json.loads(raw)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         names = [*alphabet, *(a + b for a, b in pairs)]
@@ -87,9 +88,10 @@ class TokenAutomaton:
             self.prefixes[label] = k
         self.never = np.int64(self.size)
         self.rows: dict[int, bytes] = {}
-        self.born: dict[int, np.ndarray] = {}
+        self.lost: dict[int, np.ndarray] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def _cleared(self, x: int) -> np.ndarray:
         """The merge that removes each arc of state ``x``, ``never`` where none does."""
@@ -100,8 +102,10 @@ class TokenAutomaton:
         return at
 
     def _born(self, x: int) -> np.ndarray:
-        """Whether the gadgets ever gave state ``x`` each arc (packed)."""
-        if (packed := self.born.get(x)) is not None:
+        """Whether the gadgets ever gave state ``x`` each arc (packed): its row, with the arcs that merges removed."""
+        if (row := self.rows.get(x)) is not None:
+            packed = np.frombuffer(row, np.uint8).copy()
+            np.bitwise_or.at(packed, self.lost[x] >> 3, (1 << (self.lost[x] & 7)).astype(np.uint8))
             return packed
         alive, cleared = np.zeros(self.size, bool), self._cleared(x)
         if x < 256:
@@ -114,20 +118,21 @@ class TokenAutomaton:
             y = level[np.searchsorted(level, x, side="right"):]
             first = self.left[y]
             alive[y] = alive[first] & (cleared[first] > y)
-        packed = self.born[x] = np.packbits(alive, bitorder="little")
-        return packed
+        return np.packbits(alive, bitorder="little")
 
     def arcs(self, x: int) -> bytes:
         """The arc row of state ``x`` once all merges are in."""
         if (row := self.rows.get(x)) is None:
             if len(self.rows) >= STATES_KEPT:
                 self.rows.clear()
-                self.born.clear()
-            row = self._born(x).copy()
+                self.lost.clear()
+            packed, gone = self._born(x), np.zeros(0, np.int64)
             if x in self.merges_of:
                 gone = self.merges_of[x][0]
-                np.bitwise_and.at(row, gone >> 3, (255 - (1 << (gone & 7))).astype(np.uint8))
-            row = self.rows[x] = row.tobytes()
+                gone = gone[(packed[gone >> 3] >> (gone & 7)) & 1 > 0]
+                np.bitwise_and.at(packed, gone >> 3, (255 - (1 << (gone & 7))).astype(np.uint8))
+            row, self.lost[x] = packed.tobytes(), gone.astype(np.int32)
+            self.rows[x] = row
         return row
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -170,12 +175,17 @@ class TokenAutomaton:
         try:
             return [*map(self.words.__getitem__, words)]
         except KeyError:
-            if len(self.words) >= WORDS_KEPT:
-                self.older, self.words = self.words, {}
-            kept = self.words
+            if self.kept_bytes >= KEPT_BYTES:
+                self.older, self.words, self.kept_bytes = self.words, {}, 0
+            kept, long = self.words, {}
             for w in set(words).difference(kept):
-                kept[w] = self.older.pop(w, None) or np.array(self.encode_word(w.encode()), np.uint32).tobytes()
-            return [*map(kept.__getitem__, words)]
+                packed = self.older.pop(w, None) or np.array(self.encode_word(w.encode()), np.uint32).tobytes()
+                if len(w) > LONGEST_KEPT:
+                    long[w] = packed
+                else:
+                    kept[w] = packed
+                    self.kept_bytes += 200 + len(w) + len(packed)  # the objects' own sizes with it
+            return [long[w] if w in long else kept[w] for w in words] if long else [*map(kept.__getitem__, words)]
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text; special tokens in the text are taken as such."""
@@ -195,14 +205,12 @@ class TokenAutomaton:
         return b"".join(map(self.label_of_id.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, TokenAutomaton] = {}
-
-
-def automaton(path: str) -> TokenAutomaton:
-    """The automaton of a vocabulary file, compiled once per worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = TokenAutomaton(path)
-    return _LOADED[path]
+def _shipped(df: DataFrame, path: str) -> Callable[[], TokenAutomaton]:
+    """The automaton of a vocabulary file, compiled once per worker; the driver reads the file and sends it along."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    shared, name = df.sparkSession.sparkContext.broadcast(raw), "bpe " + digest_of(raw)  # one vocabulary file
+    return lambda: held(name, lambda: TokenAutomaton(shared.value))
 
 
 def _added(df: DataFrame, fields: dict[str, T.DataType]) -> T.StructType:
@@ -216,11 +224,11 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     all others pass through.  Rows never move: there is no shuffle.
     """
     fields: dict[str, T.DataType] = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
-    schema = _added(df, fields)
+    schema, automaton = _added(df, fields), _shipped(df, path)
     kept = [f.name for f in df.schema.fields if f.name not in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = automaton(path)
+        tokens = automaton()
         for batch in batches:
             texts, rest = batch.column(batch.schema.get_field_index(text)), batch.select(kept)
             for start in range(0, len(texts), 256):
@@ -234,18 +242,18 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int32()))
                 part = rest.slice(start, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, column, *([pa.array(back, pa.string())] if decoded else [])], names=[*kept, *fields])
-        tokens.older = {}  # the worker may go on to other operators
+        tokens.older = {}
 
     return df.mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds ``text``, what the token ids decode to; null ids give the empty text."""
-    schema = _added(df, {text: T.StringType()})
+    schema, automaton = _added(df, {text: T.StringType()}), _shipped(df, path)
     kept = [f.name for f in df.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = automaton(path)
+        tokens = automaton()
         for batch in batches:
             back = pa.array([tokens.decode(x or []) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, back], names=[*kept, text])
