@@ -21,8 +21,9 @@ from .common import double_array, materialise, space_words
 FUNCTION_WORDS = "the of and to in is that for with it as on by this be are was at from de la le les des et en un une du que pour dans qui est el los las del por con para una der die das und den von mit ist im auf ein eine zu nicht sich".split()
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_bangs", "n_function", "n_lines", "n_dup_lines", "n_repeat_words")
-#: The share of good documents is given, as votes on faults alone can't tell it.
-STEPS, LEAST, PRIOR = 25, 0.5, 0.85
+#: The share of good documents is given, as votes on faults alone can't tell it.  EM ends
+#: when no probability moves by ``SETTLED``, or after ``STEPS`` steps.
+STEPS, SETTLED, LEAST, PRIOR = 200, 1e-6, 0.5, 0.85
 #: Start of EM: probability of a vote on good and on bad documents, for rules that look for a
 #: fault and for the rule that also speaks for a text.  The start stays as pseudo-counts of
 #: ``SMOOTH`` times each class, which keeps the classes from changing places.
@@ -30,6 +31,8 @@ FAULT = {-1: (0.01, 0.35), 0: (0.98, 0.64), 1: (0.01, 0.01)}
 WEAK_FAULT = {-1: (0.05, 0.35), 0: (0.94, 0.64), 1: (0.01, 0.01)}
 BOTH_WAYS = {-1: (0.10, 0.60), 0: (0.10, 0.20), 1: (0.80, 0.20)}
 SMOOTH = 0.05
+#: Where EM starts for each rule.
+STARTS = {"symbols": FAULT, "exclamations": FAULT, "upper_case": FAULT, "repeated_lines": WEAK_FAULT, "repeated_words": FAULT, "word_length": FAULT, "function_words": BOTH_WAYS}
 
 
 def text_features(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -81,17 +84,17 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
     return (votes if good is None else votes.when(good, F.lit(1))).otherwise(F.lit(0))
 
 
-def rule_votes() -> dict[str, tuple[Column, dict[int, tuple[float, float]]]]:
-    """The rules over ``text_features`` and where EM starts for each."""
+def rule_votes() -> dict[str, Column]:
+    """The rules over ``text_features``."""
     n = F.col("n_words")
     return {
-        "symbols": (_vote(10 * F.col("n_symbols") > n), FAULT),
-        "exclamations": (_vote(4 * F.col("n_bangs") > n), FAULT),
-        "upper_case": (_vote((n >= 10) & (100 * F.col("n_upper") > 30 * F.col("word_chars"))), FAULT),
-        "repeated_lines": (_vote(100 * F.col("n_dup_lines") > 30 * F.col("n_lines")), WEAK_FAULT),
-        "repeated_words": (_vote(100 * F.col("n_repeat_words") > 25 * n), FAULT),
-        "word_length": (_vote((F.col("word_chars") < 3 * n) | (F.col("word_chars") > 12 * n)), FAULT),
-        "function_words": (_vote((n >= 50) & (100 * F.col("n_function") < 2 * n), (n >= 10) & (100 * F.col("n_function") >= 10 * n)), BOTH_WAYS),
+        "symbols": _vote(10 * F.col("n_symbols") > n),
+        "exclamations": _vote(4 * F.col("n_bangs") > n),
+        "upper_case": _vote((n >= 10) & (100 * F.col("n_upper") > 30 * F.col("word_chars"))),
+        "repeated_lines": _vote(100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        "repeated_words": _vote(100 * F.col("n_repeat_words") > 25 * n),
+        "word_length": _vote((F.col("word_chars") < 3 * n) | (F.col("word_chars") > 12 * n)),
+        "function_words": _vote((n >= 50) & (100 * F.col("n_function") < 2 * n), (n >= 10) & (100 * F.col("n_function") >= 10 * n)),
     }
 
 
@@ -103,8 +106,9 @@ def vote_places(rules: list[str]) -> Column:
 def estimate_accuracies(patterns: DataFrame, starts: list[dict[int, tuple[float, float]]], steps: int = STEPS, share: float = PRIOR) -> tuple[list[float], list[float]]:
     """EM over a table of vote patterns ``(votes array<int> of vote_places, n)``.
 
-    Returns, for each place, the probability of that vote on good and on bad documents.  An empty table returns the start values.  A step is one
-    aggregate whose weights are a literal array, so all steps share one compiled plan.
+    Returns, for each place, the probability of that vote on good and on bad documents.
+    An empty table returns the start values.  A step is one aggregate whose weights are a
+    literal array, so all steps share one compiled plan; they end once they move nothing.
     """
     start_good, start_bad = ([s[v][k] for s in starts for v in (-1, 0, 1)] for k in (0, 1))
     good, bad = start_good, start_bad
@@ -116,10 +120,13 @@ def estimate_accuracies(patterns: DataFrame, starts: list[dict[int, tuple[float,
         of_good, of_all = {r["at"]: r["p"] for r in sums}, {r["at"]: r["n"] for r in sums}
         total_good, total = sum(of_good.get(v, 0.0) for v in range(3)), sum(of_all.get(v, 0) for v in range(3))
         of_bad = {at: of_all[at] - of_good[at] for at in of_all}
+        before = [*good, *bad]
         good, bad = (
             [(of.get(v, 0.0) + (SMOOTH * total + 1) * start[v]) / (size + SMOOTH * total + 1) for v in range(len(start))]
             for of, size, start in ((of_good, total_good, start_good), (of_bad, total - total_good, start_bad))
         )
+        if max(abs(x - y) for x, y in zip(before, [*good, *bad], strict=True)) < SETTLED:
+            break
     return good, bad
 
 
@@ -139,10 +146,10 @@ def judge_quality(df: DataFrame, text: str = "text", carry: list[str] | None = N
     counts are written once to the shared folder, as both EM and the result need them.
     """
     votes = rule_votes()
-    counted = materialise(text_features(df, text, carry), "quality-counts").withColumns({f"vote_{k}": v for k, (v, _) in votes.items()})
+    counted = materialise(text_features(df, text, carry), "quality-counts").withColumns({f"vote_{k}": v for k, v in votes.items()})
     rules = [f"vote_{k}" for k in votes]
     patterns = materialise(counted.groupBy(vote_places(rules).alias("votes")).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns").coalesce(1)
-    good, bad = estimate_accuracies(patterns, [start for _, start in votes.values()], steps)
+    good, bad = estimate_accuracies(patterns, [STARTS[k] for k in votes], steps)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = counted.withColumns({"quality": posterior(vote_places(rules), PRIOR, good, bad), "base_failed": failed})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, brown_lm, decontaminate, language_id, license_scan, ngram_join, quality_rules, sharding, url_filter, warc_zip
+from . import bpe_automaton, brown_lm, decontaminate, language_id, license_scan, ngram_join, oracles, quality_rules, sharding, url_filter, warc_zip
 from .common import crc_fold, table
 
 
@@ -26,7 +26,7 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.through_archives(table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
@@ -44,7 +44,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -87,4 +87,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_warc_zip, op2_bpe_automaton, op3_license_scan, op4_ngram_join, op5_quality_rules, op6_brown_lm, op7_language_id, op8_decontaminate, op9_virtual_slots, op10_url_filter)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc_zip": oracles.OP1, "op4_ngram_join": oracles.OP4, "op5_quality_rules": oracles.OP5, "op8_decontaminate": oracles.OP8}
