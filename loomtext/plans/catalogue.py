@@ -700,6 +700,42 @@ def compat_rollup(spark, sf):
     return parsed.rollup("status", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+SELECT status, kind, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'invalid' ELSE 'ok' END AS status, o_orderstatus AS kind FROM orders) GROUP BY CUBE(status, kind)""")
+def verdict_cube(spark, sf):
+    """Totals of verdicts by every combination of verdict and kind."""
+    orders = table(spark, sf, "orders")
+    docs = orders.select(F.concat_ws("/", "o_orderstatus", "o_orderkey").alias("doc_id"), F.expr("concat('Order ', o_orderkey, if(o_orderkey % 3 = 0, ' `open', ''), '\n')").alias("text"))
+    parsed = D.parse_documents(docs, nodes=False).select("status", F.substring_index("doc_id", "/", 1).alias("kind"))
+    return parsed.cube("status", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_orderkey::BIGINT AS doc_id, 3 * count(*) + 3 AS n_cells FROM lineitem GROUP BY l_orderkey ORDER BY n_cells DESC, doc_id LIMIT 20""")
+def largest_tables(spark, sf):
+    """The twenty documents with the most table cells."""
+    cells = D.node_table(_order_tables(spark, sf)).where("type = 'tableCell'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    return cells.orderBy(F.desc("n_cells"), "doc_id").limit(20)
+
+
+@query("""SELECT 'both' AS side, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'left', count(*) FROM orders WHERE o_orderkey % 2 <> 0""")
+def shared_meanings(spark, sf):
+    """Canonical texts that two spellings of a corpus have in common, and those of the first alone."""
+    orders = table(spark, sf, "orders")
+    a = D.parse_documents(each(orders, "o_orderkey", _TOLERANT), nodes=False).select("canonical")
+    b = D.parse_documents(each(orders.where("o_orderkey % 2 = 0"), "o_orderkey", _CANONICAL), nodes=False).select("canonical")
+    both, left = a.intersect(b).select(F.lit("both").alias("side")), a.exceptAll(b).select(F.lit("left").alias("side"))
+    return both.unionByName(left).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey::BIGINT AS doc_id, CASE WHEN o_orderkey % 4 = 2 THEN 'syntax' ELSE 'semantic' END AS category, CASE WHEN o_orderkey % 4 = 2 THEN 0 ELSE length('Order ' || o_orderkey) + 1 END::BIGINT AS at FROM orders WHERE o_orderkey % 4 > 1""")
+def finding_records(spark, sf):
+    """Findings as JSON records, read again by path: the first error of each document and where it stands."""
+    text = "concat('Order ', o_orderkey, element_at(array('', '\n\n***', ' `open', ' [^no]'), cast(o_orderkey % 4 + 1 as int)), '\n')"
+    found = D.finding_table(each(table(spark, sf, "orders"), "o_orderkey", text)).where("severity = 'error'")
+    records = found.select("doc_id", F.to_json(F.struct("category", F.struct("start_off", "end_off").alias("span"))).alias("j"))
+    return records.select("doc_id", F.get_json_object("j", "$.category").alias("category"), F.get_json_object("j", "$.span.start_off").cast("bigint").alias("at"))
+
+
 @query("""
 SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'canonical' WHEN o_orderkey % 4 = 1 THEN 'noncanonical' WHEN o_orderkey % 4 = 2 THEN 'syntax' ELSE 'semantic' END AS outcome, count(*) AS n FROM orders GROUP BY ALL""")
 def triage_buckets(spark, sf):
