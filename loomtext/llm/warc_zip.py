@@ -27,6 +27,8 @@ from .common import file_system, fresh_path, materialise
 
 #: A writer starts a new archive beyond this many bytes of data; a reader takes ranges up to so many bytes.
 ARCHIVE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: Digests that may be broadcast (64 bytes each), and most tasks that read archives.
+BROADCAST_DIGESTS, MOST_TASKS = 300_000, 20_000
 #: Payloads of at least this size may be recorded as a revisit of an equal one.
 LEAST_REVISIT = 1000
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.jsonl", "datapackage.json"
@@ -228,16 +230,21 @@ class ArchiveWriter:
 def plan_revisits(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """Adds ``payload`` (null html: no bytes), its ``digest`` and ``refers_to``, the response that a revisit refers to.
 
-    Of equal payloads of at least ``least`` bytes the largest key is the response.  The
-    largest key for each digest is found with counts from each task, then joined back;
-    the join can be split where a digest is very common.  Null keys sort lowest and are
-    never referred to unless alone.
+    Of equal payloads of at least ``least`` bytes the largest key is the response.  Only
+    digests that occur twice are of interest, found with counts from each task.  Up to
+    ``BROADCAST_DIGESTS`` of them are broadcast and no payload moves; beyond it the large
+    payloads meet them in a join that can be split where a digest is very common, and the
+    small ones stay where they are.  Null keys sort lowest and are never referred to unless alone.
     """
     rows = pages.withColumn("payload", F.coalesce(F.col(html), F.lit("")).cast("binary"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least
     groups = rows.where(large).groupBy("digest").agg(F.max(key).alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("same"), "response")
-    joined = rows.join(groups, (F.col("digest") == F.col("same")) & large, "left")
+    groups = materialise(groups, "warc-digests")
+    if groups.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(groups), (F.col("digest") == F.col("same")) & large, "left")
+    else:
+        joined = rows.where(large).join(groups, F.col("digest") == F.col("same"), "left").unionByName(rows.where(~large), allowMissingColumns=True)
     return joined.withColumn("refers_to", F.when(~F.col(key).eqNullSafe(F.col("response")), F.col("response"))).drop("same", "response")
 
 
@@ -300,6 +307,7 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True) -> Dat
     ``payload_bytes`` and ``payload_digest`` are of the full payload; for a response both
     are taken from the bytes read and the stored digest must agree, for a revisit they
     come from its header.  ``payload`` is null for revisits and left out if not asked for.
+    There is a task for each ``RANGE_BYTES`` of archives, ``MOST_TASKS`` at most.
     """
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string" + ", payload binary" * payload
 
@@ -328,15 +336,19 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True) -> Dat
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] * payload)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *(["payload"] * payload)])
 
-    ranges = archive_ranges(manifest, folder)
-    return ranges.repartition(F.col("archive"), F.col("at")).mapInArrow(run, schema)
+    size, n = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    spread = lambda tasks: max(1, min(MOST_TASKS, tasks))
+    ranges = archive_ranges(manifest.repartition(spread(n), "archive"), folder)
+    return ranges.repartition(spread(-(-size // RANGE_BYTES)), F.col("archive"), F.col("at")).mapInArrow(run, schema)
 
 
 def through_archives(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", payload: bool = False) -> DataFrame:
     """Writes all rows as archives in the shared folder and reads them back.
 
-    Null html counts as the empty payload, an empty table makes no archive and no rows,
-    and rows that repeat a key are written once for each row.
+    Null html counts as the empty payload, a null key comes back null, an empty table makes
+    no archive and no rows, and rows that repeat a key are written once for each row.  Of
+    equal payloads with the largest key more than once each row of that key is a response.
+    Only the three named columns are read.
     """
     folder = fresh_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, key, url, html), folder, payload)
