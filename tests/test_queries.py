@@ -10,7 +10,7 @@ import pytest
 from loomtext.plans import ORACLES, QUERIES
 
 DATA = Path(os.environ.get("LOOMTEXT_TESTDATA", "/root/testdata/sf0.001"))
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 
 
