@@ -97,3 +97,22 @@ def test_deep_and_long_texts_end():
     assert read_document(deep).status == "ok"
     assert read_document("*a " * 20_000).status == "invalid"
     assert read_document("[" * 3000).status == "ok"
+
+
+TASK_LIKE = ["- \\[ \\]", "- \\[ ] a", "* \\[X] a", "1. a\n   - \\[x\\] *b*", "3. \\[ ]\n   - b", "> - \\[x] a", "- [&#120;](/a)", "- [&#32;](/a) b"]
+
+
+@pytest.mark.parametrize("text", TASK_LIKE)
+def test_text_like_a_task_stays_text(text):
+    """Written so that no item becomes a task, or an error, when it is read again."""
+    parsed = read_document(text)
+    written = write_document(parsed.tree)
+    assert parsed.status == "ok" and check_canonical(written)[0] == "canonical" and same(parsed.tree, read_document(written).tree)
+    assert canonical_text("- [ ] [ ] a\n- [x] b\n\n: \\[x] c\n") == "- [ ] [ ] a\n- [x] b\n\n: [x] c\n"
+
+
+@pytest.mark.parametrize("seed", (10905, 17939, 41916, 55080, 69097))
+def test_laws_on_seeds_with_task_like_texts(seed):
+    parsed = read_document(random_text(seed))
+    back = read_document(write_document(parsed.tree))
+    assert parsed.status == back.status == "ok" and same(parsed.tree, back.tree) and back.transport.canonical
