@@ -10,7 +10,7 @@ from loomtext.grammar.document import read_document, transport_of
 from loomtext.grammar.importer import import_text
 from loomtext.grammar.tree import rows_of, same
 from loomtext.grammar.writer import write_document
-from loomtext.operators.reports import random_text
+from loomtext.operators.reports import random_text, random_tree
 
 CANONICAL = [
     ("", "\n"), ("a", "a\n"), ("# a #", "# a\n"), ("##  a  {#x}", "## a {#x}\n"), ("* * *", "---\n"), ("~~~py\nx\n~~~", "```py\nx\n```\n"),
@@ -116,3 +116,19 @@ def test_laws_on_seeds_with_task_like_texts(seed):
     parsed = read_document(random_text(seed))
     back = read_document(write_document(parsed.tree))
     assert parsed.status == back.status == "ok" and same(parsed.tree, back.tree) and back.transport.canonical
+
+
+@pytest.mark.parametrize("mark", ("=", "+"))
+@pytest.mark.parametrize("size", range(1, 8))
+def test_runs_of_marks_stay_text(mark, size):
+    """Before a span of the same mark, whatever stands around the run."""
+    for text in (f"{a}{('\\' + mark) * size}{b} {mark * 2}c{mark * 2} d" for a in ("", "a", "a ", "a[", "é") for b in ("", "n", " n", ".")):
+        parsed = read_document(text)
+        written = write_document(parsed.tree)
+        assert parsed.status == "ok" and check_canonical(written)[0] == "canonical" and same(parsed.tree, read_document(written).tree), (text, written)
+
+
+def test_seeded_tree_with_a_run_of_marks():
+    tree = random_tree(89254)
+    back = read_document(write_document(tree))
+    assert back.status == "ok" and same(tree, back.tree)
