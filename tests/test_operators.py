@@ -131,3 +131,13 @@ def test_numbers_of_a_common_value(spark):
 def test_spread_deals_out_small_inputs(spark):
     one = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).coalesce(1)
     assert documents.spread(one).rdd.getNumPartitions() > 1
+
+
+def test_rules_stored_one_by_one(spark):
+    """The same violations as from one plan of all rules, and nothing of the rules is left in the plan of what follows."""
+    nodes = documents.node_table(table(spark, [(1, "3. a\n4. b\n\n> c\n> > d\n\n| a | b |\n|---|---|\n| 1 | 2 |\n")])).cache()
+    broken = nodes.where("not (type = 'tableCell' and pos = 1)").withColumn("quote_level", F.when(F.col("quote_level") == 2, 3).otherwise(F.col("quote_level")))
+    found = validation.stored_violations(broken)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, validation.violations(broken).collect())) and found.count() == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
