@@ -9,8 +9,8 @@ and the parts of one word meet sorted, so they are summed one after the other.
 a text has its own class, and so have words that training never saw.
 
 A bounded list of the most frequent words goes to every worker; tokens beyond it meet
-their counts and classes in a join, so nothing that grows with the corpus is collected or
-broadcast.
+their counts and classes in joins, in training and in scoring, so nothing that grows with
+the corpus is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -318,6 +318,70 @@ def assigned(cells: DataFrame, between: np.ndarray) -> DataFrame:
     return met.mapInArrow(run, "word string, n bigint, class int")
 
 
+def far_moves(docs: DataFrame, text: str, words, of, classes: int) -> DataFrame:
+    """``(a, ka, b, kb, n)``: how often two tokens follow each other of which one at least is beyond the list.
+
+    ``a`` and ``b`` are words beyond the list; where null, the kind beside it tells the class
+    of a listed word or the end.  Tasks count, and pass on what they hold as ``neighbour_cells`` does.
+    """
+    kinds = classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        fixed = dict(zip(words.value, of.value.tolist()))
+        names: dict[bytes, int] = {}
+        codes, n = [], []
+
+        def number(w: bytes) -> int:
+            kind = fixed.get(w)
+            return kinds + names.setdefault(w, len(names)) if kind is None else kind
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            own, at = np.unique(np.concatenate(codes), return_inverse=True)
+            sums = np.bincount(at, np.concatenate(n), len(own)).astype(np.int64)
+            listing = pa.array([w.decode("utf-8", "replace") for w in names], pa.string())
+            for k in range(0, len(own), 20_000):
+                columns = []
+                for x in (own[k:k + 20_000] >> 32, own[k:k + 20_000] & 0xFFFFFFFF):
+                    columns += [listing.take(pa.array(np.maximum(x - kinds, 0), mask=x < kinds)), pa.array(np.minimum(x, kinds - 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums[k:k + 20_000])], names=["a", "ka", "b", "kb", "n"])
+            for x in (names, codes, n):
+                x.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                ids = [classes]
+                for t in batch.column(0).slice(at, 512).to_pylist():
+                    ids.extend(map(number, tokens(t)))
+                    ids.append(classes)
+                line = np.array(ids, np.int64)
+                far = (line[:-1] >= kinds) | (line[1:] >= kinds)
+                own, k = np.unique(line[:-1][far] << 32 | line[1:][far], return_counts=True)
+                codes.append(own)
+                n.append(k)
+                if len(names) > HELD or sum(map(len, codes)) > 2 * HELD:
+                    yield from passed()
+        if names:
+            yield from passed()
+        release()
+
+    return docs.select(text).mapInArrow(run, "a string, ka int, b string, kb int, n bigint")
+
+
+def moves_beyond(far: DataFrame, beyond: DataFrame, kinds: int) -> np.ndarray:
+    """The transitions of ``far_moves`` by kind, where each word meets its class."""
+    out = np.zeros((kinds, kinds))
+    known = beyond.select("word", "class")
+    one, left = F.col("a").isNull() | F.col("b").isNull(), F.col("a").isNull()
+    sided = far.where(one).select(F.coalesce("a", "b").alias("word"), left.alias("left"), F.when(left, F.col("ka")).otherwise(F.col("kb")).alias("kind"), "n")
+    for r in sided.join(known, "word").groupBy("left", "kind", "class").agg(F.sum("n").alias("n")).collect():  # 2 * kinds ** 2 rows at most
+        out[(r["kind"], r["class"]) if r["left"] else (r["class"], r["kind"])] += r["n"]
+    both = far.where(~one).join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b")
+    for r in both.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
+        out[r["ca"], r["cb"]] += r["n"]
+    return out
+
+
 @dataclass
 class Model:
     """What a worker needs: listed words with counts and classes, and the two distributions in log10."""
@@ -344,12 +408,14 @@ class Model:
         return len(self.room) - 1
 
 
-def train(docs: DataFrame, counts: DataFrame, text: str = "text", listed: int = LISTED, clustered: int = CLUSTERED, classes: int = CLASSES) -> Model:
+def train(docs: DataFrame, counts: DataFrame, text: str = "text", listed: int = LISTED, clustered: int = CLUSTERED, classes: int = CLASSES, whole: bool = False) -> Model:
     """Classes and distributions from the training texts and their materialised word counts.
 
-    Kinds are the classes, the end and, last, what is beyond the list: transitions are
-    counted between listed words, and those of words beyond the list stand for words that
-    training never saw.
+    Kinds are the classes, the end and, last, words that training never saw.  With
+    ``whole``, transitions are counted between all training words: those of words beyond
+    the list meet their classes in joins, so the list's length decides where work is done
+    and no score.  Else they are counted between listed words, and words beyond the list
+    stand for words that training never saw.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -378,17 +444,21 @@ def train(docs: DataFrame, counts: DataFrame, text: str = "text", listed: int =
 
     def moves_of(ids: np.ndarray) -> np.ndarray:
         line = np.concatenate(([classes], all_of.value[ids], [classes]))  # -1, a word beyond the list, is the last
-        return line[:-1] * kinds + line[1:]
+        ok = (line[:-1] <= classes) & (line[1:] <= classes) | (not whole)
+        return line[:-1][ok] * kinds + line[1:][ok]
 
     moves = _summed_codes(docs, text, shared, kinds ** 2, moves_of).reshape(kinds, kinds) + ADDED
+    beyond = others.where(~listing.holds)
+    if whole and distinct - (end_count > 0) > len(words):
+        moves += moves_beyond(materialise(far_moves(docs, text, shared, all_of, classes), "lm-far"), beyond, kinds)
     sizes = np.zeros((2, kinds))
     np.add.at(sizes[0], first, listing.counts[:m])
     np.add.at(sizes[1], first, 1)
     for r in others.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect():
         sizes[:, r["class"]] += r["n"], r["k"]
     sizes[:, classes] = end_count, min(end_count, 1)
-    beyond = others.where(~listing.holds)
-    sizes[:, classes + 1] = beyond.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if not whole:
+        sizes[:, classes + 1] = beyond.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     return Model(words, listing.counts, of, np.log10(moves / moves.sum(1, keepdims=True)), np.log10(sizes.sum(0) + 1), int(end_count), int(total), int(distinct), reached, beyond)
 
 
@@ -473,4 +543,4 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def score_corpus(docs: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
     """Learns from the training rows and scores all documents."""
     counts = materialise(count_words(training, text), "lm-counts")
-    return score_texts(docs, train(training, counts, text), text)
+    return score_texts(docs, train(training, counts, text, whole=True), text)

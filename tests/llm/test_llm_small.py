@@ -458,3 +458,16 @@ def test_urls(spark):
     assert got[urls[9]]["verdict"] == "block" and got[urls[10]]["verdict"] == "allow"
     weights, bias = url_filter.train(spark.createDataFrame([], "url string, label int"), steps=2)
     assert not any(weights) and bias < 0
+
+
+def test_brown_list_decides_no_score(spark):
+    """Training words beyond the list have the transitions of their classes: scores are those of a list of all words."""
+    rows = spark.createDataFrame([(i, prose(40 + i, i)) for i in range(30)] + [(99, "unseen words of the kind"), (100, None)], "doc_id bigint, text string")
+    training = rows.where("doc_id < 25")
+    counts = brown_lm.materialise(brown_lm.count_words(training), "t")
+    got, sizes = [], []
+    for listed in (30, 120, brown_lm.LISTED):
+        model = brown_lm.train(training, counts, listed=listed, clustered=8, classes=4, whole=True)
+        sizes.append(len(model.words))
+        got.append({r["doc_id"]: round(r["score"], 6) for r in brown_lm.score_texts(rows, model).collect()})
+    assert 8 < sizes[0] < sizes[1] < sizes[2] and got[0] == got[1] == got[2]
