@@ -5,8 +5,10 @@ a class.  Exchange clustering moves the ``CLUSTERED`` most frequent words, the s
 between classes until no move raises the likelihood of the class bigrams.  Every other
 word then joins the class that the same criterion prefers, given the classes of all its
 left and right neighbours in the start set; a task adds up the neighbours of its words,
-and the parts of one word meet sorted, so they are summed one after the other.  The end of
-a text has its own class, and so have words that training never saw.
+and the parts of one word meet sorted, so they are summed one after the other.  The same
+sums, by class, are the transitions between the start set and all other words, so only
+transitions between two words beyond the start set are left to count.  The end of a text
+has its own class, and so have words that training never saw.
 
 A bounded list of the most frequent words goes to every worker; tokens beyond it meet
 their counts and classes in joins, in training and in scoring, so nothing that grows with
@@ -15,12 +17,12 @@ the corpus is collected or broadcast.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,27 +40,73 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold 4 MB or ``rows``, as one of few rows costs about as much as one of many."""
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(batch)
+        if sum(b.num_rows for b in parts) >= rows or sum(b.nbytes for b in parts) >= 4 << 20:
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+            parts = []
+    if parts:
+        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+
+
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ``tokens`` of all texts in a row, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words, text = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an edge leaves an empty word there
+    return words.filter(some), np.bincount(text.filter(some).to_numpy(), minlength=len(texts))
+
+
+def listing_of(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
+
+
+def numbered(words: pa.Array, listed: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each word is listed; words beyond the list are numbered after it, in the order of the second result."""
+    place = pc.index_in(words, listed)
+    beyond = place.is_null()
+    further = words.filter(beyond).dictionary_encode()
+    out = place.fill_null(-1).to_numpy().astype(np.int64)
+    out[beyond.to_numpy(zero_copy_only=False)] = len(listed) + further.indices.to_numpy()
+    return out, further.dictionary
+
+
+def lined(numbers: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The numbers of texts of these sizes in a row, with ``end`` before, between and after them."""
+    line = np.full(len(numbers) + len(sizes) + 1, end, np.int64)
+    line[np.arange(1, len(numbers) + 1) + np.repeat(np.arange(len(sizes)), sizes)] = numbers
+    return line
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(word, n)`` over all rows; the end of a text is the empty word.  Tasks count before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        held: Counter[bytes] = Counter()
+        parts: list[pa.Table] = []
 
-        def passed() -> pa.RecordBatch:
-            words = pa.array([w.decode("utf-8", "replace") for w in held], pa.string())
-            out = pa.RecordBatch.from_arrays([words, pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
+        def merged() -> pa.Table:
+            return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                for t in batch.column(0).slice(start, 512).to_pylist():
-                    held.update(tokens(t))
-                    held[b""] += 1
-                if len(held) > HELD:
-                    yield passed()
-        if held:
-            yield passed()
+        def passed() -> Iterator[pa.RecordBatch]:
+            yield from parts[0].to_batches(20_000)
+            parts.clear()
+
+        for batch in blocks(batches):
+            found = split_texts(batch.column(0))[0].value_counts()
+            parts.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            parts.append(pa.table({"word": [""], "n": [batch.num_rows]}))
+            if sum(map(len, parts)) > 4 * HELD:
+                parts[:] = [merged()]
+                if len(parts[0]) > 2 * HELD:
+                    yield from passed()
+        if parts:
+            parts[:] = [merged()]
+            yield from passed()
+        release()
 
     return docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -150,19 +198,22 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, lis
 
 
 def _summed_codes(docs: DataFrame, text: str, words, size: int, code: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """How often each integer code below ``size`` occurs over all texts: added up in each task, then by code."""
+    """How often each integer code below ``size`` occurs over all texts: added up in each task, then by code.
+
+    The codes come from the places in ``words`` of the words of many texts in a row; -1 is a
+    word beyond them, their number the end before, between and after the texts.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        place = {w: i for i, w in enumerate(words.value)}
+        listed = listing_of(words.value)
         sums = np.zeros(size, np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                found = []
-                for t in batch.column(0).slice(start, 512).to_pylist():
-                    found.append(code(np.array([place.get(w, -1) for w in tokens(t)], np.int64)))
-                sums += np.bincount(np.concatenate(found), minlength=size)
+        for batch in blocks(batches):
+            own, sizes = split_texts(batch.column(0))
+            place = pc.index_in(own, listed).fill_null(-1).to_numpy()
+            sums += np.bincount(code(lined(place, sizes, len(listed))), minlength=size)
         codes = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums[codes])], names=["code", "n"])
+        release()
 
     found = docs.select(text).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # ``size`` rows at most
     out = np.zeros(size)
@@ -197,172 +248,188 @@ def best_classes(between: np.ndarray, left: np.ndarray, right: np.ndarray) -> np
     return gain.argmax(1)
 
 
-def neighbour_cells(docs: DataFrame, text: str, start, of: np.ndarray, classes: int) -> DataFrame:
+def neighbour_cells(docs: DataFrame, text: str, words, of: np.ndarray, classes: int) -> DataFrame:
     """``(word, cells)``: for words beyond the start set how often each class stands left and right of them.
 
-    A task numbers the words that it meets, adds up pairs of number and code, and passes
-    them on when it holds ``HELD`` words or four times as many pairs.  A code is the class
-    on the left, or the class on the right plus ``classes + 2``; the end is a class, and a
-    left neighbour beyond the start set has a code too, so a word's left cells add up to its count.
+    ``of`` are the classes of the start set, the first of the listed ``words``.  A task adds
+    up the other listed words in one table, which it passes on at its end.  Words beyond the
+    list are numbered as they are met, and passed on when the task holds twice ``HELD`` of
+    them or four times as many pairs of number and code.  A code is the class on the left, or
+    the class on the right plus ``classes + 2``; the end is a class, and a left neighbour
+    beyond the start set has a code too, so a word's left cells add up to its count.
     """
     kinds, m = classes + 2, len(of)
-    near = np.append(of, classes)  # class of the start set, of the end
+    width = 2 * kinds
+
+    def rows(codes: np.ndarray, n: np.ndarray, names: pa.Array) -> pa.RecordBatch:
+        """Rising codes, which tell places in ``names`` too, and how often each occurs."""
+        word, cells = codes // width, np.empty(len(codes), _CELL)
+        cells["code"], cells["n"] = codes % width, n
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        offsets = (np.append(first, len(codes)) * _CELL.itemsize).astype(np.int32)
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(cells.tobytes())])
+        return pa.RecordBatch.from_arrays([names.take(pa.array(word[first])), data], names=["word", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        fixed = {w: i for i, w in enumerate([*start.value, b""])}
-        place, names = dict(fixed), []
-        codes, n, size = [], [], 0
-
-        def number(w: bytes) -> int:
-            i = place.get(w)
-            if i is None:
-                i = place[w] = m + 1 + len(names)
-                names.append(w)
-            return i
-
-        def merge() -> None:
-            nonlocal size
-            own, at = np.unique(np.concatenate(codes), return_inverse=True)
-            codes[:], n[:] = [own], [np.bincount(at, np.concatenate(n), len(own)).astype(np.int64)]
-            size = len(own)
+        known, end = listing_of([*words.value, b""]), len(words.value)
+        near = np.full(end + 2, classes + 1)  # class of the start set, of the end; all others are alike
+        near[:m], near[end] = of, classes
+        listed = np.zeros((end - m) * width, np.int32)
+        codes, n, names, size, met = [], [], [], 0, 0
 
         def passed() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            merge()
-            word, cells = codes[0] // (2 * kinds), np.empty(size, _CELL)
-            cells["code"], cells["n"] = codes[0] % (2 * kinds), n[0]
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            ends = np.append(first[1:], size)
-            for k in range(0, len(first), 20_000):
-                a, b = first[k:k + 20_000], ends[k:k + 20_000]
-                own = pa.array([names[i].decode("utf-8", "replace") for i in (word[a] - m - 1).tolist()], pa.string())
-                offsets = np.append(a, b[-1]) - a[0]
-                data = pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((offsets * _CELL.itemsize).astype(np.int32)), pa.py_buffer(cells[a[0]:b[-1]].tobytes())])
-                yield pa.RecordBatch.from_arrays([own, data], names=["word", "cells"])
-            place.clear()
-            place.update(fixed)
-            names.clear()
-            codes.clear()
-            n.clear()
-            size = 0
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids = [m]
-                for t in batch.column(0).slice(at, 512).to_pylist():
-                    ids.extend(map(number, tokens(t)))
-                    ids.append(m)
-                line = np.array(ids, np.int64)
-                a, b = line[:-1], line[1:]
-                kind_a, kind_b = (np.where(x <= m, near[np.minimum(x, m)], classes + 1) for x in (a, b))
-                x = b[b > m] * (2 * kinds) + kind_a[b > m]
-                known = (a > m) & (b <= m)
-                own, k = np.unique(np.concatenate((x, a[known] * (2 * kinds) + kinds + kind_b[known])), return_counts=True)
-                codes.append(own)
-                n.append(k)
-                size += len(own)
-                if size > 4 * HELD:
-                    merge()
-                if size > 2 * HELD or len(names) > HELD:
-                    yield from passed()
+            nonlocal size, met
+            own, joined = np.concatenate(codes), pa.concat_arrays(names).dictionary_encode()
+            own, at = np.unique(joined.indices.to_numpy()[own // width] * np.int64(width) + own % width, return_inverse=True)
+            sums = np.bincount(at, np.concatenate(n), len(own)).astype(np.int64)
+            cuts = np.searchsorted(own, np.arange(0, len(joined.dictionary) + 20_000, 20_000) * width)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a < b:
+                    yield rows(own[a:b], sums[a:b], joined.dictionary)
+            for x in (codes, n, names):
+                x.clear()
+            size = met = 0
+
+        for batch in blocks(batches):
+            own, sizes = split_texts(batch.column(0))
+            own, further = numbered(own, known)
+            line = lined(own, sizes, end)
+            kind = near[np.minimum(line, end + 1)]
+            beyond = kind > classes
+            last = beyond[:-1] & ~beyond[1:]
+            x = np.concatenate((line[1:][beyond[1:]] * width + kind[:-1][beyond[1:]], line[:-1][last] * width + kinds + kind[1:][last]))
+            far = x >= end * width
+            np.add.at(listed, x[~far] - m * width, np.int32(1))
+            own, k = np.unique(x[far] - (end + 1 - met) * width, return_counts=True)
+            codes.append(own)
+            n.append(k)
+            names.append(further)
+            size, met = size + len(own), met + len(further)
+            if size > 4 * HELD or met > 2 * HELD:
+                yield from passed()
         if size:
             yield from passed()
+        for a in range(m, end, 20_000):
+            part = listed[(a - m) * width:(a - m + 20_000) * width]
+            own = np.flatnonzero(part)
+            if len(own):
+                yield rows(own, part[own], pa.array([w.decode("utf-8", "replace") for w in words.value[a:a + 20_000]], pa.string()))
         release()
 
     return docs.select(text).mapInArrow(run, "word string, cells binary")
 
 
 def assigned(cells: DataFrame, between: np.ndarray) -> DataFrame:
-    """``(word, n, class)`` of the words in ``neighbour_cells``; the parts of a word come one after the other."""
+    """``(word, n, class, code)`` of the words in ``neighbour_cells``; the parts of a word come one after the other.
+
+    Rows with a code, and no word, say how often the words of the class that a task met have
+    the neighbour of this code; the others are the words, each once.
+    """
     kinds = len(between) + 1
+    width = 2 * kinds
     left = [*range(kinds - 1)]
+    mixed = np.random.default_rng(0).integers(1, 1 << 62, width) | 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settled(words: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        decided: dict[bytes, int] = {}  # HELD / 8 vectors at most
+        met = np.zeros((kinds - 2, width), np.int64)
+
+        def settled(words: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
             # most words are rare and have their neighbours' classes in common with others
-            raw = np.ascontiguousarray(sums.astype(np.int64)).view(np.dtype((np.void, 16 * kinds))).ravel()
-            _, at, same = np.unique(raw, return_index=True, return_inverse=True)
-            keys = [raw[i].tobytes() for i in at]
-            new = [k for k, key in enumerate(keys) if key not in decided]
-            found = best_classes(between, sums[at[new]][:, left], sums[at[new], kinds:2 * kinds - 1]).tolist()
+            whole = np.ascontiguousarray(sums.astype(np.int64))
+            _, at, same = np.unique(whole @ mixed, return_index=True, return_inverse=True)
+            if not np.array_equal(whole[at[same]], whole):  # two vectors of one key
+                at = same = np.arange(len(whole))
+            keys = [x.tobytes() for x in whole[at]]
             if len(decided) > HELD // 8:
                 decided.clear()
-                new, found = [*range(len(at))], best_classes(between, sums[at][:, left], sums[at, kinds:2 * kinds - 1]).tolist()
-            decided.update(zip((keys[k] for k in new), found, strict=True))
+            new = [k for k, key in enumerate(keys) if key not in decided]
+            found = best_classes(between, sums[at[new]][:, left], sums[at[new], kinds:width - 1])
+            decided.update(zip((keys[k] for k in new), found.tolist(), strict=True))
             own = np.array([decided[key] for key in keys], np.int64)[same]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(sums[:, :kinds].sum(1).astype(np.int64)), pa.array(own.astype(np.int32))], names=["word", "n", "class"])
-
-        decided: dict[bytes, int] = {}  # HELD / 8 vectors at most
-        last, open_sums = None, np.zeros(2 * kinds)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 8192):
-                part = batch.slice(start, 8192)
-                words, raw = np.array(part.column(0).to_pylist(), object), part.column(1).to_pylist()
-                run_of = np.cumsum(np.r_[0, words[1:] != words[:-1]])
-                found = np.frombuffer(b"".join(raw), _CELL)
-                at = np.repeat(run_of, [len(x) // _CELL.itemsize for x in raw])
-                sums = np.bincount(at * (2 * kinds) + found["code"], found["n"], (run_of[-1] + 1) * 2 * kinds).reshape(-1, 2 * kinds)
-                names = words[np.r_[True, words[1:] != words[:-1]]]
-                if last == names[0]:
-                    sums[0] += open_sums
-                elif last is not None:
-                    yield settled(np.array([last], object), open_sums[None])
-                if len(names) > 1:
-                    yield settled(names[:-1], sums[:-1])
-                last, open_sums = names[-1], sums[-1].copy()
+            np.add.at(met, own, whole)
+            return pa.RecordBatch.from_arrays([words, pa.array(whole[:, :kinds].sum(1)), pa.array(own.astype(np.int32)), pa.nulls(len(words), pa.int32())], names=["word", "n", "class", "code"])
+
+        last, open_sums = None, np.zeros(width)
+        for part in blocks(batches, 16_384):
+            words, raw = part.column(0), part.column(1)
+            first = np.r_[True, pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)]
+            run_of, offsets = np.cumsum(first) - 1, np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
+            found = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(_CELL)
+            at = np.repeat(run_of, np.diff(offsets) // _CELL.itemsize)
+            sums = np.bincount(at * width + found["code"], found["n"], (run_of[-1] + 1) * width).reshape(-1, width)
+            names = words.filter(pa.array(first))
+            if last is not None and last[0] == names[0]:
+                sums[0] += open_sums
+            elif last is not None:
+                yield settled(last, open_sums[None])
+            if len(names) > 1:
+                yield settled(names[:-1], sums[:-1])
+            last, open_sums = names[-1:], sums[-1].copy()
         if last is not None:
-            yield settled(np.array([last], object), open_sums[None])
+            yield settled(last, open_sums[None])
+        own, code = np.nonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.string()), pa.array(met[own, code]), pa.array(own.astype(np.int32)), pa.array(code.astype(np.int32))], names=["word", "n", "class", "code"])
 
     met = cells.repartition(tasks_for(cells.sparkSession, cells.count()), "word").sortWithinPartitions("word")
-    return met.mapInArrow(run, "word string, n bigint, class int")
+    return met.mapInArrow(run, "word string, n bigint, class int, code int")
 
 
-def far_moves(docs: DataFrame, text: str, words, of, classes: int) -> DataFrame:
-    """``(a, ka, b, kb, n)``: how often two tokens follow each other of which one at least is beyond the list.
+def far_moves(docs: DataFrame, text: str, words, of, start: int, classes: int) -> DataFrame:
+    """``(a, ka, b, kb, n)``: how often two tokens beyond the ``start`` first words follow each other.
 
     ``a`` and ``b`` are words beyond the list; where null, the kind beside it tells the class
-    of a listed word or the end.  Tasks count, and pass on what they hold as ``neighbour_cells`` does.
+    of a listed word.  Tasks count, and pass on what they hold as ``neighbour_cells`` does;
+    between listed words only classes matter, so those are counted to the end.
     """
     kinds = classes + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        fixed = dict(zip(words.value, of.value.tolist()))
-        names: dict[bytes, int] = {}
-        codes, n = [], []
+        known, size = listing_of([*words.value, b""]), len(words.value)
+        kind_of = np.append(of.value[:size], [-1, 0])  # -1: the start set and the end
+        kind_of[:start] = -1
+        listed = np.zeros(kinds ** 2, np.int64)
+        codes, n, names, held, met = [], [], [], 0, 0
 
-        def number(w: bytes) -> int:
-            kind = fixed.get(w)
-            return kinds + names.setdefault(w, len(names)) if kind is None else kind
+        def rows(a: pa.Array, ka: np.ndarray, b: pa.Array, kb: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([a, pa.array(ka.astype(np.int32)), b, pa.array(kb.astype(np.int32)), pa.array(k)], names=["a", "ka", "b", "kb", "n"])
 
         def passed() -> Iterator[pa.RecordBatch]:
-            own, at = np.unique(np.concatenate(codes), return_inverse=True)
+            nonlocal held, met
+            joined, own = pa.concat_arrays(names).dictionary_encode(), np.concatenate(codes)
+            number = np.append(np.arange(kinds), joined.indices.to_numpy() + kinds)
+            own, at = np.unique(number[own >> 32] << 32 | number[own & 0xFFFFFFFF], return_inverse=True)
             sums = np.bincount(at, np.concatenate(n), len(own)).astype(np.int64)
-            listing = pa.array([w.decode("utf-8", "replace") for w in names], pa.string())
             for k in range(0, len(own), 20_000):
-                columns = []
-                for x in (own[k:k + 20_000] >> 32, own[k:k + 20_000] & 0xFFFFFFFF):
-                    columns += [listing.take(pa.array(np.maximum(x - kinds, 0), mask=x < kinds)), pa.array(np.minimum(x, kinds - 1).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums[k:k + 20_000])], names=["a", "ka", "b", "kb", "n"])
-            for x in (names, codes, n):
+                a, b = own[k:k + 20_000] >> 32, own[k:k + 20_000] & 0xFFFFFFFF
+                named = (joined.dictionary.take(pa.array(np.maximum(x - kinds, 0), mask=x < kinds)) for x in (a, b))
+                yield rows(next(named), np.minimum(a, kinds - 1), next(named), np.minimum(b, kinds - 1), sums[k:k + 20_000])
+            for x in (codes, n, names):
                 x.clear()
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids = [classes]
-                for t in batch.column(0).slice(at, 512).to_pylist():
-                    ids.extend(map(number, tokens(t)))
-                    ids.append(classes)
-                line = np.array(ids, np.int64)
-                far = (line[:-1] >= kinds) | (line[1:] >= kinds)
-                own, k = np.unique(line[:-1][far] << 32 | line[1:][far], return_counts=True)
-                codes.append(own)
-                n.append(k)
-                if len(names) > HELD or sum(map(len, codes)) > 2 * HELD:
-                    yield from passed()
-        if names:
+            held = met = 0
+
+        for batch in blocks(batches):
+            own, sizes = split_texts(batch.column(0))
+            own, further = numbered(own, known)
+            line = lined(own, sizes, size)
+            line = np.where(line > size, line - (size + 1 - kinds - met), kind_of[np.minimum(line, size + 1)])
+            ok = (line[:-1] >= 0) & (line[1:] >= 0)
+            a, b = line[:-1][ok], line[1:][ok]
+            far = np.maximum(a, b) >= kinds
+            listed += np.bincount(a[~far] * kinds + b[~far], minlength=kinds ** 2)
+            own, k = np.unique(a[far] << 32 | b[far], return_counts=True)
+            codes.append(own)
+            n.append(k)
+            names.append(further)
+            held, met = held + len(own), met + len(further)
+            if held > 4 * HELD or met > 2 * HELD:
+                yield from passed()
+        if held:
             yield from passed()
+        own = np.flatnonzero(listed)
+        yield rows(pa.nulls(len(own), pa.string()), own // kinds, pa.nulls(len(own), pa.string()), own % kinds, listed[own])
         release()
 
     return docs.select(text).mapInArrow(run, "a string, ka int, b string, kb int, n bigint")
@@ -372,11 +439,13 @@ def moves_beyond(far: DataFrame, beyond: DataFrame, kinds: int) -> np.ndarray:
     """The transitions of ``far_moves`` by kind, where each word meets its class."""
     out = np.zeros((kinds, kinds))
     known = beyond.select("word", "class")
-    one, left = F.col("a").isNull() | F.col("b").isNull(), F.col("a").isNull()
-    sided = far.where(one).select(F.coalesce("a", "b").alias("word"), left.alias("left"), F.when(left, F.col("ka")).otherwise(F.col("kb")).alias("kind"), "n")
+    left, right = F.col("a").isNull(), F.col("b").isNull()
+    for r in far.where(left & right).groupBy("ka", "kb").agg(F.sum("n").alias("n")).collect():  # kinds ** 2 rows at most
+        out[r["ka"], r["kb"]] += r["n"]
+    sided = far.where(left != right).select(F.coalesce("a", "b").alias("word"), left.alias("left"), F.when(left, F.col("ka")).otherwise(F.col("kb")).alias("kind"), "n")
     for r in sided.join(known, "word").groupBy("left", "kind", "class").agg(F.sum("n").alias("n")).collect():  # 2 * kinds ** 2 rows at most
         out[(r["kind"], r["class"]) if r["left"] else (r["class"], r["kind"])] += r["n"]
-    both = far.where(~one).join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b")
+    both = far.where(~left & ~right).join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b")
     for r in both.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
         out[r["ca"], r["cb"]] += r["n"]
     return out
@@ -412,9 +481,9 @@ def train(docs: DataFrame, counts: DataFrame, text: str = "text", listed: int =
     """Classes and distributions from the training texts and their materialised word counts.
 
     Kinds are the classes, the end and, last, words that training never saw.  With
-    ``whole``, transitions are counted between all training words: those of words beyond
-    the list meet their classes in joins, so the list's length decides where work is done
-    and no score.  Else they are counted between listed words, and words beyond the list
+    ``whole``, transitions are counted between all training words: those with the start set
+    come with the classes, those of words beyond the list meet their classes in joins, so
+    the list's length decides where work is done and no score.  Else they are counted between listed words, and words beyond the list
     stand for words that training never saw.
     """
     spark = docs.sparkSession
@@ -422,10 +491,9 @@ def train(docs: DataFrame, counts: DataFrame, text: str = "text", listed: int =
     total, distinct, end_count = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("word") == "", F.col("n"))), F.lit(0))).first()
     listing = listed_words(counts.where(F.col("word") != ""), listed)
     words, m, kinds = listing.words, min(clustered, len(listing.words)), classes + 2
-    start = sc.broadcast(words[:m])  # CLUSTERED words at most
+    start, shared = sc.broadcast(words[:m]), sc.broadcast(words)  # CLUSTERED words at most, LISTED words at most
 
-    def near(ids: np.ndarray) -> np.ndarray:
-        line = np.concatenate(([m], ids, [m]))
+    def near(line: np.ndarray) -> np.ndarray:
         a, b = line[:-1], line[1:]
         ok = (a >= 0) & (b >= 0)
         return a[ok] * (m + 1) + b[ok]
@@ -434,23 +502,32 @@ def train(docs: DataFrame, counts: DataFrame, text: str = "text", listed: int =
     first, reached = exchange(pairs, classes)
     one = np.zeros((m + 1, classes + 1))
     one[np.arange(m + 1), np.append(first, classes)] = 1
-    cells = materialise(neighbour_cells(docs, text, start, first, classes), "lm-cells")
-    others = materialise(assigned(cells, one.T @ pairs @ one), "lm-classes")
+    between = one.T @ pairs @ one
+    cells = materialise(neighbour_cells(docs, text, shared, first, classes), "lm-cells")
+    found = materialise(assigned(cells, between), "lm-classes")
+    others = found.where("code is null").drop("code")
     got = others.where(listing.holds).select("word", "class").toArrow()  # LISTED words at most
     place = {w: i for i, w in enumerate(words)}
     of = np.append(first, np.zeros(len(words) - m, np.int64))
     of[[place[w.encode()] for w in got.column("word").to_pylist()]] = got.column("class").to_numpy()
-    shared, all_of = sc.broadcast(words), sc.broadcast(np.append(of, classes + 1))  # LISTED words at most
+    all_of = sc.broadcast(np.append(of, [classes, classes + 1]))  # LISTED words at most
 
-    def moves_of(ids: np.ndarray) -> np.ndarray:
-        line = np.concatenate(([classes], all_of.value[ids], [classes]))  # -1, a word beyond the list, is the last
-        ok = (line[:-1] <= classes) & (line[1:] <= classes) | (not whole)
-        return line[:-1][ok] * kinds + line[1:][ok]
+    def moves_of(line: np.ndarray) -> np.ndarray:
+        line = all_of.value[line]  # -1, a word beyond the list, is the last
+        return line[:-1] * kinds + line[1:]
 
-    moves = _summed_codes(docs, text, shared, kinds ** 2, moves_of).reshape(kinds, kinds) + ADDED
     beyond = others.where(~listing.holds)
-    if whole and distinct - (end_count > 0) > len(words):
-        moves += moves_beyond(materialise(far_moves(docs, text, shared, all_of, classes), "lm-far"), beyond, kinds)
+    if whole:
+        moves = np.full((kinds, kinds), ADDED)
+        moves[:-1, :-1] += between
+        for r in found.where("code is not null").groupBy("class", "code").agg(F.sum("n").alias("n")).collect():  # 2 * kinds ** 2 rows at most
+            side, kind = divmod(r["code"], kinds)
+            if kind <= classes:
+                moves[(r["class"], kind) if side else (kind, r["class"])] += r["n"]
+        if distinct - (end_count > 0) > m:
+            moves += moves_beyond(materialise(far_moves(docs, text, shared, all_of, m, classes), "lm-far"), beyond, kinds)
+    else:
+        moves = _summed_codes(docs, text, shared, kinds ** 2, moves_of).reshape(kinds, kinds) + ADDED
     sizes = np.zeros((2, kinds))
     np.add.at(sizes[0], first, listing.counts[:m])
     np.add.at(sizes[1], first, 1)
@@ -474,36 +551,45 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (*added, text)]
     held = docs.sparkSession.sparkContext.broadcast(replace(model, beyond=None))  # LISTED words at most
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema.fields), "_row bigint, _n bigint, _known bigint, _logs double, _rest double, _rare array<string>, _far array<int>, _pairs array<int>"])
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         release()
         row, model = TaskContext.get().partitionId() << 40, held.value
-        place = {w: i for i, w in enumerate(model.words)}
+        known_words, listed = listing_of(model.words), len(model.words)
         logs, of, kinds = np.log10(model.counts + 1.0), model.classes, len(model.room)
         end_log = np.log10(model.end_count + 1.0)
-        for batch in batches:
-            rest = batch.select(kept)
-            for start in range(0, batch.num_rows, 512):
-                out = []
-                for t in batch.column(batch.schema.get_field_index(text)).slice(start, 512).to_pylist():
-                    words = tokens(t)
-                    ids = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-                    far = ids < 0
-                    own: dict[str, int] = {}
-                    # words beyond the list are numbered from ``kinds`` on, in the order of their first place
-                    local = np.fromiter((own.setdefault(words[i].decode("utf-8", "replace"), len(own)) for i in np.flatnonzero(far).tolist()), np.int64)
-                    line = np.full(len(words) + 2, model.end)
-                    line[1:-1][~far] = of[ids[~far]]
-                    line[1:-1][far] = kinds + local
-                    a, b = line[:-1], line[1:]
-                    ok = (a < kinds) & (b < kinds)
-                    inner = model.transitions[a[ok], b[ok]].sum() - model.room[b[b < kinds]].sum()
-                    out.append((row, len(words) + 1, int((~far).sum()) + (model.end_count > 0), logs[ids[~far]].sum() + end_log, inner, list(own), local.astype(np.int32), np.stack((a[~ok], b[~ok]), 1).ravel().astype(np.int32)))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([*rest.slice(start, 512).columns, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True))], names=[*kept, "_row", "_n", "_known", "_logs", "_rest", "_rare", "_far", "_pairs"])
+
+        def lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+
+        for batch in blocks(batches):
+            own, sizes = split_texts(batch.column(batch.schema.get_field_index(text)))
+            ids, further = numbered(own, known_words)
+            count, far = len(sizes), ids >= listed
+            doc = np.repeat(np.arange(count), sizes)
+            near_doc, far_doc = doc[~far], doc[far]
+            # words beyond the list are numbered from ``kinds`` on, anew in each text
+            most = max(1, len(further))
+            own, local = np.unique(far_doc * most + ids[far] - listed, return_inverse=True)
+            rare = np.bincount(own // most, minlength=count)
+            local -= (np.cumsum(rare) - rare)[far_doc]
+            line = ids.copy()
+            line[~far], line[far] = of[ids[~far]], kinds + local
+            line = lined(line, sizes, model.end)
+            a, b, of_pair = line[:-1], line[1:], np.repeat(np.arange(count), sizes + 1)
+            known = b < kinds
+            ok = (a < kinds) & known
+            inner = np.bincount(of_pair[ok], model.transitions[a[ok], b[ok]], count) - np.bincount(of_pair[known], model.room[b[known]], count)
+            out = [
+                pa.array(np.arange(row, row + count)), pa.array(sizes + 1), pa.array(np.bincount(near_doc, minlength=count) + (model.end_count > 0)),
+                pa.array(np.bincount(near_doc, logs[ids[~far]], count) + end_log), pa.array(inner),
+                lists(further.take(pa.array(own % most)), rare), lists(pa.array(local.astype(np.int32)), np.bincount(far_doc, minlength=count)),
+                lists(pa.array(np.stack((a[~ok], b[~ok]), 1).ravel().astype(np.int32)), 2 * np.bincount(of_pair[~ok], minlength=count)),
+            ]
+            row += count
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *out], names=[*kept, "_row", "_n", "_known", "_logs", "_rest", "_rare", "_far", "_pairs"])
 
     first = materialise(docs.select(*kept, text).mapInArrow(run, schema), "lm-first")
     met = first.select("_row", F.posexplode("_rare").alias("k", "word")).join(model.beyond, "word")

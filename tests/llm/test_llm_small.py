@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -471,3 +472,38 @@ def test_brown_list_decides_no_score(spark):
         sizes.append(len(model.words))
         got.append({r["doc_id"]: round(r["score"], 6) for r in brown_lm.score_texts(rows, model).collect()})
     assert 8 < sizes[0] < sizes[1] < sizes[2] and got[0] == got[1] == got[2]
+
+
+def test_brown_training_reads_each_text_three_times(spark):
+    """Transitions with the start set come with the classes, all others from one pass; together they are all transitions."""
+    texts = [prose(60 + i, i) for i in range(30)] + ["the end", "", None]
+    plain = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    rows = plain.select(F.udf(count, "string")("text").alias("text"))
+    counts = brown_lm.materialise(brown_lm.count_words(plain), "t")
+    bigrams = Counter(p for t in texts for p in itertools.pairwise(["", *(w.decode() for w in brown_lm.tokens(t)), ""]))
+    for listed in (8, 30, brown_lm.LISTED):
+        before = read.value
+        model = brown_lm.train(rows, counts, listed=listed, clustered=8, classes=4, whole=True)
+        assert read.value - before <= 3 * len(texts)
+        kind = {"": 4, **{w.decode(): int(k) for w, k in zip(model.words, model.classes, strict=True)}, **{r["word"]: r["class"] for r in model.beyond.collect()}}
+        moves = np.full((6, 6), brown_lm.ADDED)
+        for (a, b), n in bigrams.items():
+            moves[kind[a], kind[b]] += n
+        assert np.allclose(model.transitions, np.log10(moves / moves.sum(1, keepdims=True)))
+
+
+@given(st.lists(st.one_of(st.none(), st.text("aBÄé İſ\t\n\x0b\x0c\r\x00\x1c\x1f\x85\xa0\u2003"), st.text()), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_texts_are_split_into_tokens(texts):
+    plain = [t and t.encode("utf-8", "replace").decode() for t in texts]
+    words, sizes = brown_lm.split_texts(pa.array(["x", *plain], pa.string()).slice(1))
+    want = [brown_lm.tokens(t) for t in plain]
+    assert [w.encode() for w in words.to_pylist()] == [w for ws in want for w in ws] and sizes.tolist() == [*map(len, want)]
+    numbers, further = brown_lm.numbered(words, brown_lm.listing_of([b"a", "é".encode()]))
+    assert [["a", "é", *further.to_pylist()][i] for i in numbers] == words.to_pylist() and len({"a", "é", *further.to_pylist()}) == 2 + len(further)
