@@ -41,12 +41,12 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
-    """Batches put together until they hold 4 MB or ``rows``, as one of few rows costs about as much as one of many."""
+    """Batches put together until they hold 2 MB or ``rows``, as one of few rows costs about as much as one of many."""
     parts: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
             parts.append(batch)
-        if sum(b.num_rows for b in parts) >= rows or sum(b.nbytes for b in parts) >= 4 << 20:
+        if sum(b.num_rows for b in parts) >= rows or sum(b.nbytes for b in parts) >= 2 << 20:
             yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
             parts = []
     if parts:
