@@ -132,3 +132,23 @@ def test_seeded_tree_with_a_run_of_marks():
     tree = random_tree(89254)
     back = read_document(write_document(tree))
     assert back.status == "ok" and same(tree, back.tree)
+
+
+@pytest.mark.parametrize("seed", (167141, 648831, 840635, 1251459))
+def test_laws_on_seeds_with_lines_of_backslashes(seed):
+    parsed = read_document(random_text(seed))
+    back = read_document(write_document(parsed.tree))
+    assert parsed.status == back.status == "ok" and same(parsed.tree, back.tree) and back.transport.canonical
+
+
+BACKSLASHES = [
+    ("\\ \\\na", "\\ \\\na\n"), ("\\  \na", "\\ \\\na\n"), ("\\\\\\\\ \\\na", "\\\\\\\\ \\\na\n"), ("> a\n> \\ \\\n> b", "> a\n> \\ \\\n> b\n"), ("- \\ \\\n  a", "- \\ \\\n  a\n"), ("\\\na", "\\\na\n"),
+    ("*a*\\\\\nb", "*a*\\\\\nb\n"), ("*a*\\\\\\\nb", "*a*\\\\\\\nb\n"), ("*\\\\\na*", "*\\\\\na*\n"), ("*a\\\\*", "*a\\\\*\n"), ("[a\\\\](/b)", "[a\\\\](/b)\n"), ("~~a\\\\~~", "~~a\\\\~~\n"),
+]
+
+
+@pytest.mark.parametrize("text,canonical", BACKSLASHES)
+def test_backslashes_before_breaks_and_closers(text, canonical):
+    """A line of backslashes keeps its hard break, and none that ends a text hides what follows it."""
+    parsed = read_document(text + "\n")
+    assert parsed.status == "ok" and write_document(parsed.tree) == canonical and check_canonical(canonical)[0] == "canonical" and same(parsed.tree, read_document(canonical).tree)
