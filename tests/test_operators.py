@@ -141,3 +141,12 @@ def test_rules_stored_one_by_one(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, validation.violations(broken).collect())) and found.count() == 3
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_no_rule_broadcasts_a_stored_table(spark, tmp_path):
+    """Whatever the files' size promises: joins that grow with the nodes don't go through the driver."""
+    documents.node_table(table(spark, [(i, "3. a\n4. b\n\n> c\n> > d\n\n| a | b |\n|---|---|\n| 1 | *2* |\n") for i in range(20)])).write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    for rule in validation.RULES:
+        found = rule(nodes)
+        assert found.count() == 0 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString(), rule.__name__
